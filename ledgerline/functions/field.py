@@ -40,7 +40,9 @@ def power(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
-    return power(a, int(P) - 2)
+    """Of 0 it gives 0. Python's own modular inverse is as quick by element as 61 vectorised squarings."""
+    p = int(P)
+    return np.array([pow(x, -1, p) if x else 0 for x in a.ravel().tolist()], dtype=np.uint64).reshape(a.shape)
 
 
 def points(n: int) -> np.ndarray:

@@ -48,7 +48,7 @@ def outcomes(txns: DataFrame, by: str = "key") -> DataFrame:
             if txn is None:
                 return []
             read_only = not any(w for _, _, _, w in rows)
-            ok = read_only or all(last.get(k, -1) <= r for k, r, _, _ in rows)
+            ok = read_only or all(k not in last or last[k] <= r for k, r, _, _ in rows)
             if ok and not read_only:
                 for k, _, c, _ in rows:
                     last[k] = c

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
 from .orphans import as_of
 from .patches import is_put
 from .scan import prefix_scan
@@ -19,7 +20,7 @@ def delivered(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     opens = subscriptions.select("channel", F.col("since").alias("t"), F.lit(1).alias("d"))
     closes = subscriptions.filter("until is not null").select("channel", F.col("until").alias("t"), F.lit(-1).alias("d"))
     steps = opens.unionByName(closes).groupBy("channel", "t").agg(F.sum("d").alias("d"))
-    counts = prefix_scan(steps, ["channel"], "t", {"n": F.col("d")})
+    counts = materialize(prefix_scan(steps, ["channel"], "t", {"n": F.col("d")}), "counts")
     refs = messages.withColumn("k", F.col("channel")).withColumn("us", F.col("t"))
     known = as_of(refs, counts.select(F.col("channel").alias("k"), F.col("t").alias("us"), F.struct("t", "n").alias("s")))
     return known.select(*messages.columns, F.coalesce("s.n", F.lit(0)).cast("bigint").alias("n"))

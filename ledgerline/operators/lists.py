@@ -11,16 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
 from .scan import prefix_scan, previous
 
 
 def placed(ops: DataFrame, width: int = 1 << 18) -> DataFrame:
     """ops (key, version, op, elem) with push, hit (the op changed the list) and place; unknown ops are left out."""
-    ops = ops.filter(F.col("op").isin("LPUSH", "RPUSH", "LPOP", "RPOP"))
+    ops = ops.filter(F.col("op").isin("LPUSH", "RPUSH", "LPOP", "RPOP")).select("key", "version", "op", "elem")
     push, left = F.col("op").endswith("PUSH"), F.col("op").startswith("L")
-    walk = prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width)
+    # each scan reads its input twice, so the scans in a row are cut by written tables
+    walk = materialize(prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width), "walk")
     walk = previous(walk, ["key"], "version", "low", "before", width)
     walk = walk.withColumn("hit", push | (F.coalesce("before", F.lit(0)) == F.col("low"))).select("key", "version", "op", "elem", push.alias("push"), "hit")
+    walk = materialize(walk, "walk")
     moves = {"h": F.when(F.col("hit") & left, F.when(push, -1).otherwise(1)).otherwise(0), "t": F.when(F.col("hit") & ~left, F.when(push, 1).otherwise(-1)).otherwise(0)}
     at = prefix_scan(walk, ["key"], "version", moves, None, width)
     place = F.when(left, F.when(push, F.col("h")).otherwise(F.col("h") - 1)).otherwise(F.when(push, F.col("t") - 1).otherwise(F.col("t")))
@@ -29,7 +32,7 @@ def placed(ops: DataFrame, width: int = 1 << 18) -> DataFrame:
 
 def pops(ops: DataFrame) -> DataFrame:
     """(key, version, op, result) of each pop; of an empty list null."""
-    at = placed(ops)
+    at = materialize(placed(ops), "placed")
     took = previous(at.filter("hit"), ["key", "place"], "version", "elem", "result").filter(~F.col("push"))
     return took.select("key", "version", "op", "result").unionByName(at.filter("not hit").select("key", "version", "op", F.lit(None).cast("string").alias("result")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ID
+from ..shared import materialize
 from .resolve import alive, newest
 from .scan import prefix_scan, previous
 
@@ -28,7 +29,7 @@ def counter_value(text: Column) -> Column:
 
 def incr(ops: DataFrame, key: str, version: str, reset: str, delta: str) -> DataFrame:
     """``ops`` with ``n``, the counter after each: sums since the last reset (which sets to its delta). Sums past 64 bits fail."""
-    seg = prefix_scan(ops, [key], version, {"__seg": F.col(reset).cast("bigint")})
+    seg = materialize(prefix_scan(ops, [key], version, {"__seg": F.col(reset).cast("bigint")}), "seg")
     return prefix_scan(seg, [key, "__seg"], version, {"n": F.col(delta)}).drop("__seg")
 
 

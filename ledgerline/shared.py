@@ -64,3 +64,10 @@ atexit.register(release)
 def small_or_plain(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when the counted size is under BROADCAST_BYTES; else leave it to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Spread a table of fewer splits than cores before heavy work per row; with more splits nothing moves."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df

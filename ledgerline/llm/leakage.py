@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shared import spread
 from .fmindex import FMIndex
 from .lookalike import same_look
 
@@ -190,9 +191,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
             by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             for d, i, a, z in found:
                 by[d, i].append((a, z))
-            yield pd.DataFrame({"doc_id": [k[0] for k in by], "item_id": [k[1] for k in by], "spans": [" ".join(f"{a}-{z - 1}" for a, z in merge(v)) for v in by.values()]})
+            if by:
+                yield pd.DataFrame({"doc_id": [k[0] for k in by], "item_id": [k[1] for k in by], "spans": [" ".join(f"{a}-{z - 1}" for a, z in merge(v)) for v in by.values()]})
 
-    return docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna().mapInPandas(run, "doc_id bigint, item_id bigint, spans string")
+    return spread(docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna(), "doc").mapInPandas(run, "doc_id bigint, item_id bigint, spans string")
 
 
 #: Bound of the test items' text that is broadcast.

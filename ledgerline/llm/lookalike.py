@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import spread
+
 # Letters of other scripts with the look of a Latin letter, and that letter.
 GREEK_CAPITALS, GREEK_CAPITALS_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"
 GREEK_SMALL, GREEK_SMALL_AS = "οϲϳ", "ocj"
@@ -103,7 +105,8 @@ def look_digest(texts: pd.Series) -> pd.Series:
 
 def digests(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, look, same): digests of each non-null text's form and of the text itself."""
-    return docs.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), look_digest(text).alias("look"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("same"))
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc")
+    return rows.select("doc", look_digest("text").alias("look"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
 
 
 def classes(made: DataFrame) -> DataFrame:

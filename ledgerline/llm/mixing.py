@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..shared import materialize
+from ..shared import materialize, spread
 from .tokens import DEFAULT, Chunks
 
 #: Bound of the classifier's training sample, in documents; half as many more are held out for its temperature.
 SAMPLE_DOCS = 1500
+#: Longer documents, in characters, are not taken into the sample, so it fits the driver.
+SAMPLE_LENGTH = 200_000
 #: Posteriors are rounded to this many parts, which bounds the cells of equal texts at some thousands per label.
 PARTS = 8
 #: Starting points tried when rates become whole repeats.
@@ -47,13 +49,13 @@ class Classifier:
     ``accuracy`` and ``prior_accuracy`` are held-out shares of right guesses, with and without looking at the text.
     """
 
-    def __init__(self, texts: list[str], labels: list[str], path: str = DEFAULT, smooth: float = 0.5) -> None:
+    def __init__(self, texts: list[str], labels: list[str], path: str = DEFAULT, smooth: float = 0.02) -> None:
         self.classes = sorted(set(labels))
         chunks = Chunks(path)
         cut = max(1, len(texts) * 2 // 3)
         counts = np.full((chunks.vocabulary, len(self.classes)), smooth)
         prior = np.ones(len(self.classes))
-        sizes = np.full((64, len(self.classes)), smooth)
+        sizes = np.full((64, len(self.classes)), 0.5)
         encoded = [np.array(chunks.encoding.encode_ordinary(t), dtype=np.int64) for t in texts]
         number = np.array([self.classes.index(x) for x in labels], dtype=np.int64)
         for e, c in zip(encoded[:cut], number[:cut]):
@@ -71,7 +73,7 @@ class Classifier:
             s = np.stack([self.weights[e].sum(axis=0) for e, _ in held])
             y = np.array([c for _, c in held])
             losses = {}
-            for t in (1, 4, 16, 64, 256, 1024, 4096):
+            for t in [2.0**i for i in range(13)]:
                 p = self.posterior(s, n, t)
                 losses[t] = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
             self.temperature = min(losses, key=losses.get)
@@ -86,11 +88,11 @@ class Classifier:
 
 def fit(docs: DataFrame, doc: str, text: str, source: str, path: str = DEFAULT, sample: int = SAMPLE_DOCS) -> Classifier | None:
     """Fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids; None without any."""
-    known = docs.filter(F.col(text).isNotNull()).withColumn("__l", label(source)).filter(F.col("__l").isNotNull())
-    ids = known.select(F.col(doc).alias("__d"), F.xxhash64(doc).alias("__h")).orderBy("__h", "__d").limit(sample).select("__d")
-    rows = known.join(F.broadcast(ids), F.col(doc) == F.col("__d"), "left_semi").select(text, "__l", F.xxhash64(doc).alias("__h")).collect()
-    rows.sort(key=lambda r: (r["__h"], r["__l"]))
-    return Classifier([r[0] for r in rows], [r["__l"] for r in rows], path) if rows else None
+    known = docs.select(F.col(doc).alias("d"), F.xxhash64(doc).alias("h"), label(source).alias("label"), F.col(text).alias("text")).filter("label is not null and text is not null")
+    ids = known.select("d", "h").orderBy("h", "d").limit(sample).select("d")
+    rows = known.join(F.broadcast(ids), "d", "left_semi").filter(F.length("text") <= SAMPLE_LENGTH).select("text", "label", "h").limit(sample).collect()
+    rows.sort(key=lambda r: (r["h"], r["label"], r["text"]))
+    return Classifier([r["text"] for r in rows], [r["label"] for r in rows], path) if rows else None
 
 
 def measured(docs: DataFrame, model: Classifier | None, doc: str, text: str, source: str, path: str = DEFAULT) -> DataFrame:
@@ -105,17 +107,16 @@ def measured(docs: DataFrame, model: Classifier | None, doc: str, text: str, sou
         m, w = shared.value
         chunks = Chunks(path, w)
         for b in batches:
+            if not len(b):
+                continue
             got = [chunks.measure(t) for t in b["text"]]
             n = np.array([g[0] for g in got], dtype=np.int64)
-            if len(got):
-                p = m.posterior(np.stack([g[1] for g in got]), n)
-                q = rounded(p, np.array([int(x[:13], 16) / 16**13 for x in b["same"]]))
-            else:
-                q = np.zeros((0, 1), np.int64)
+            p = m.posterior(np.stack([g[1] for g in got]), n)
+            q = rounded(p, np.array([int(x[:13], 16) / 16**13 for x in b["same"]]))
             yield pd.DataFrame({"doc": b["doc"], "source": b["source"], "same": b["same"], "tokens": n, "q": list(q)})
 
     rows = docs.select(F.col(doc).alias("doc"), label(source).alias("source"), F.md5(F.col(text).cast("binary")).alias("same"), F.col(text).alias("text")).filter("source is not null and text <> ''")
-    out = rows.mapInPandas(run, "doc bigint, source string, same string, tokens bigint, q array<bigint>")
+    out = spread(rows, "doc").mapInPandas(run, "doc bigint, source string, same string, tokens bigint, q array<bigint>")
     one = out.groupBy("same").agg(F.min(F.struct("doc", "source", "tokens", "q")).alias("x"))
     return one.select("x.*").filter("tokens > 0")
 
@@ -182,13 +183,14 @@ def fitted(cells: DataFrame, k: int, plans: dict, classes: list[str], steps: int
 
     mass = sums(None)
     want = {m: np.array([plans[m][1].get(c, (0.0, 0))[0] for c in classes]) for m in plans}
-    now = {m: np.zeros(k) for m in plans}
+    now, gap = {m: np.zeros(k) for m in plans}, float("inf")
     for _ in range(steps):
         for m in plans:
             pushes[m].append(np.divide(want[m] - now[m], mass[m], out=np.zeros(k), where=mass[m] > 0))
-        if all(np.abs(want[m] - now[m])[mass[m] > 0].sum() <= 1e-4 * max(1.0, want[m].sum()) for m in plans):
-            break
         now = sums(pushes)
+        gap, before = sum(float(np.sum((want[m] - now[m])[mass[m] > 0] ** 2 / mass[m][mass[m] > 0])) for m in plans), gap
+        if np.isfinite(before) and before - gap <= 1e-3 * before:  # caps or overlapping posteriors leave the rest
+            break
     return pushes
 
 

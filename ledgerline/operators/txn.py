@@ -63,8 +63,10 @@ def outcomes(txns: DataFrame, by: str = "key") -> DataFrame:
                         last = {}
                     part, txn, rows = p, t, []
                 rows.append((k, r, c, w))
+            if out:
+                yield pd.DataFrame(out, columns=["txn", "committed"])
+        if out := close():
             yield pd.DataFrame(out, columns=["txn", "committed"])
-        yield pd.DataFrame(close(), columns=["txn", "committed"])
 
     ready = txns.select(F.col(by).alias("part"), "txn", "key", "read_ts", "commit_ts", "writes")
     return ready.repartition("part").sortWithinPartitions("part", "commit_ts", "txn").mapInPandas(run, schema)

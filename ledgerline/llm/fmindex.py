@@ -8,10 +8,13 @@ SAMPLE = 16
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols >= 0 below 2**21 whose last one, and only that, is 0; by prefix doubling over unresolved suffixes only."""
+    """Suffix array of symbols >= 0 below 2**31 whose last one, and only that, is 0; by prefix doubling over unresolved suffixes only."""
     n = len(t)
     pad = np.concatenate([t, [0, 0]]).astype(np.int64)
-    key = (pad[:-2] << 42) | (pad[1:-1] << 21) | pad[2:]
+    if n and int(t.max()) < 1 << 21:
+        h, key = 3, (pad[:-2] << 42) | (pad[1:-1] << 21) | pad[2:]
+    else:
+        h, key = 2, (pad[:-2] << 31) | pad[1:-1]
     sa = np.argsort(key)
     got = key[sa]
     first = np.concatenate([[True], got[1:] != got[:-1]])
@@ -21,7 +24,6 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     rank[n] = -1
     open_ = ~(first & np.concatenate([first[1:], [True]]))
     slots = np.flatnonzero(open_)
-    h = 3
     while len(slots):
         members = sa[slots]
         key = (rank[members] << 32) + rank[np.minimum(members + h, n)] + 1

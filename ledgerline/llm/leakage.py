@@ -25,6 +25,8 @@ from .lookalike import same_look
 SEED, LEAST, ONE_IN = 4, 20, 10
 #: Characters per shard, so an index stays small whatever the batch.
 SHARD_CHARS = 8_000_000
+#: Longer texts, in words, are searched in pieces that overlap by twice the longest item, so that each case lies in some piece.
+PIECE = 1_500_000
 
 _MARK = re.compile(r"[^\x00-\x7f\w]")
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -153,6 +155,16 @@ def search_shard(docs: list[tuple[int, list[bytes]]], items: Items) -> list[tupl
     return out
 
 
+def pieces(ws: list[bytes], overlap: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first word, words) of a text's pieces; short texts are one."""
+    if len(ws) <= PIECE:
+        yield 0, ws
+        return
+    ws = [w for w in ws if not _number(w)]
+    for at in range(0, max(1, len(ws) - overlap), max(1, PIECE - overlap)):
+        yield at, ws[at : at + PIECE]
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -178,16 +190,25 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Items(shared.value)
+        overlap = 2 * max(map(len, known.words), default=0)
         for b in batches:
-            shard, chars, found = [], 0, []
+            shard, size, found, first = [], 0, [], {}
+
+            def close() -> None:
+                found.extend((first[n][0], i, first[n][1] + a, first[n][1] + z) for n, i, a, z in search_shard(shard, known))
+                shard.clear()
+
             for d, t in zip(b["doc"], b["text"]):
-                shard.append((d, words(t)))
-                chars += len(t)
-                if chars >= SHARD_CHARS:
-                    found += search_shard(shard, known)
-                    shard, chars = [], 0
+                for at, ws in pieces(words(t), overlap):
+                    n = len(first)
+                    first[n] = (d, at)
+                    shard.append((n, ws))
+                    size += min(len(t), 6 * len(ws))
+                    if size >= SHARD_CHARS:
+                        close()
+                        size = 0
             if shard:
-                found += search_shard(shard, known)
+                close()
             by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             for d, i, a, z in found:
                 by[d, i].append((a, z))

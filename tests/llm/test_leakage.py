@@ -121,3 +121,25 @@ def test_shards_do_not_change_the_result(spark, monkeypatch, chars):
             shard = []
     rows += leakage.search_shard(shard, known) if shard else []
     assert {r[0] for r in rows} == set(range(0, 30, 3))
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    item = [rng.choice(WORDS) for _ in range(30)]
+    docs = [(i, " ".join(FILL[: rng.randrange(200)] + item + FILL[:150] + item[:19] + FILL[:50])) for i in range(12)] + [(50, " ".join(FILL * 3))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    whole = sorted(leakage.leaks(df, items).collect())
+    known = leakage.Items([(1, " ".join(item))])
+    monkeypatch.setattr(leakage, "PIECE", 100)
+    out = set()
+    for d, t in docs:
+        for at, ws in leakage.pieces(leakage.words(t), 60):
+            out |= {(d, at + a, at + z) for _, _, a, z in leakage.search_shard([(0, ws)], known)}
+    got = {d: leakage.merge([(a, z) for e, a, z in out if e == d]) for d in {e for e, _, _ in out}}
+    assert {d: " ".join(f"{a}-{z - 1}" for a, z in v) for d, v in got.items()} == {r[0]: r[2] for r in whole} and len(whole) == 12
+
+
+def test_many_different_words():
+    t = np.concatenate([np.random.default_rng(1).integers(1, 1 << 30, 300), np.arange(1, 40), np.arange(1, 40), [1 << 22, 0]])
+    assert suffix_order(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())

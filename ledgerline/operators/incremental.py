@@ -9,6 +9,7 @@ run that dies before its commit marker leaves no trace and is repeated whole.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -93,7 +94,8 @@ def pending(entries_of, runs: DataFrame, width: int = LEAF) -> DataFrame:
     h = F.xxhash64("seq", "key", F.col("key").isNull())
     now, then = _digest(h), _digest(h, F.col("applied"))
     both = materialize(all_.groupBy(F.col("feed").alias("part"), "node").agg(F.xxhash64(*now).alias("now"), F.xxhash64(*then).alias("then")), "leaves")
-    differ = materialize(changed_leaves(both.select("part", "node", F.col("now").alias("d")), both.select("part", "node", F.col("then").alias("d"))), "changed")
+    levels = max(1, math.ceil(math.log(max(2, both.count()), FANOUT)))
+    differ = materialize(changed_leaves(both.select("part", "node", F.col("now").alias("d")), both.select("part", "node", F.col("then").alias("d")), levels=levels), "changed")
     n = differ.count()
     # only records of changed leaves reach this second shuffle
     inside = records.withColumn("node", F.floor(F.col("seq") / F.lit(width))).join(small_or_plain(differ.withColumnRenamed("part", "feed"), n, 40), ["feed", "node"], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.glob import matches
 from ..schema import ID, STRING
+from .scan import prefix_scan
 
 
 def newest(log: DataFrame, as_of: int | None = None, by: list[str] = ID, order: list[str] = ("version",)) -> DataFrame:
@@ -47,7 +48,9 @@ def history(log: DataFrame, as_of: int | None = None) -> DataFrame:
     """All versions with their position in (key ascending, version descending) per record."""
     if as_of is not None:
         log = log.filter(F.col("version") <= as_of)
-    return log.withColumn("pos", F.row_number().over(W.partitionBy(*ID).orderBy(F.desc("version"))))
+    up = prefix_scan(log, ID, "version", {"pos": F.lit(1)})
+    total = log.groupBy(*ID).agg(F.count(F.lit(1)).alias("__n"))
+    return up.join(total, ID).withColumn("pos", F.col("__n") - F.col("pos") + 1).drop("__n")
 
 
 def physical_name(dtype: Column, key: Column, sub: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..shared import materialize
+
 #: Order numbers per range chunk.
 WIDTH = 1 << 18
 
@@ -50,3 +52,17 @@ def previous(df: DataFrame, key: list[str], order: str, col: str, out: str, widt
     last = df.select(*key, F.floor(F.col(order) / F.lit(width)).alias("__c"), F.struct(order, F.col(col).alias("__v")).alias("__r")).groupBy(*key, "__c").agg(F.max("__r").alias("__r"))
     last = last.withColumn("__q", F.lag("__r.__v").over(W.partitionBy(*key).orderBy("__c"))).select(*key, "__c", "__q")
     return cut.join(last, [*key, "__c"]).select(*df.columns, F.when(F.col("__f"), F.col("__q")).otherwise(F.col("__p")).alias(out))
+
+
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``, 1, 2, ... per key in ascending ``order`` (unique per key).
+
+    Rows are range-partitioned by key and order, numbered within a range, and ranges' counts carried on,
+    so a key with a third of the rows is sorted in many tasks.
+    """
+    cut = materialize(df.repartitionByRange(*key, *order).withColumn("__c", F.spark_partition_id()), "ranges")
+    within = cut.withColumn("__i", F.row_number().over(W.partitionBy(*key, "__c").orderBy(*order)))
+    counts = cut.groupBy(*key, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*key).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__b", before).drop("__n")
+    return within.join(counts, [*key, "__c"]).select(*df.columns, (F.col("__i") + F.col("__b")).cast("bigint").alias(out))

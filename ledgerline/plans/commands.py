@@ -10,6 +10,7 @@ from ..operators import collections as C
 from ..operators import lists as Q
 from ..operators import resolve as R
 from ..operators import strings as S
+from ..operators.scan import prefix_scan, previous, ranked
 from ..schema import NOW
 from . import logs as L
 
@@ -133,10 +134,7 @@ def hlen(s: SparkSession, d: str) -> DataFrame:
 
 
 def hkeys(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    state = R.resolve(L.hashes(s, d), now=NOW)
-    return state.select("key", F.col("sub").alias("field"), F.row_number().over(W.partitionBy("key").orderBy("sub")).cast("bigint").alias("pos"))
+    return ranked(R.resolve(L.hashes(s, d), now=NOW).select("key", F.col("sub").alias("field")), ["key"], ["field"], "pos")
 
 
 # lists
@@ -154,8 +152,6 @@ def rpush_order(s: SparkSession, d: str) -> DataFrame:
 
 def push_len(s: SparkSession, d: str) -> DataFrame:
     """The length that each push returns."""
-    from ..operators.scan import prefix_scan
-
     return prefix_scan(_pushes(s, d, "RPUSH"), ["key"], "version", {"n": F.lit(1)}).select("key", "version", "n")
 
 
@@ -193,9 +189,7 @@ def srem_effect(s: SparkSession, d: str) -> DataFrame:
 
 
 def smembers(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    return R.resolve(L.big_sets(s, d)).select("key", F.col("sub").alias("member"), F.row_number().over(W.partitionBy("key").orderBy("sub")).cast("bigint").alias("pos"))
+    return ranked(R.resolve(L.big_sets(s, d)).select("key", F.col("sub").alias("member")), ["key"], ["member"], "pos")
 
 
 def sismember(s: SparkSession, d: str) -> DataFrame:
@@ -222,8 +216,6 @@ def zadd_added(s: SparkSession, d: str) -> DataFrame:
 
 def zadd_update(s: SparkSession, d: str) -> DataFrame:
     """Writes that move a member that is there to another score: (key, sub, version, old, score)."""
-    from ..operators.scan import previous
-
     z = L.zsets(s, d).withColumn("at", F.when(~F.col("deleted"), F.col("score")))
     return previous(z, ["key", "sub"], "version", "at", "old").filter("not deleted and old <> score").select("key", "sub", "version", "old", "score")
 
@@ -233,9 +225,7 @@ def zscore(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(x: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    return x.select("key", F.col("sub").alias("member"), "score", F.row_number().over(W.partitionBy("key").orderBy("score", "sub")).cast("bigint").alias("pos"))
+    return ranked(x.select("key", F.col("sub").alias("member"), "score"), ["key"], ["score", "member"], "pos")
 
 
 def zrangebyscore(s: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..operators.scan import previous
 from ..schema import BITMAP, HASH, SET, STRING, ZSET
 from ..shared import read
 
@@ -31,7 +31,7 @@ def strings(spark: SparkSession, d: str) -> DataFrame:
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     """h:<user>, field event type: error deletes the user's previous field."""
-    e = events(spark, d).withColumn("prev", F.lag("et").over(W.partitionBy("u").orderBy("version")))
+    e = previous(events(spark, d), ["u"], "version", "et", "prev")
     gone = F.col("et") == "error"
     return _log(e, HASH, F.concat(F.lit("h:"), "u"), F.when(gone, F.coalesce("prev", F.lit("none"))).otherwise(F.col("et")), F.concat(F.lit("f"), F.col("event_id").cast("string")), F.col("v"), gone, F.lit(0))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import join_on
 from .scan import previous
 
 PAGE = 32768
@@ -36,8 +37,8 @@ def bitcount(now: DataFrame, first: int | None = None, last: int | None = None,
     at = F.col("off") if unit == "BIT" else F.floor(F.col("off") / 8)
     inside = (at >= a) & (at <= z)
     ends = length(now)
-    hits = now.join(ends, "key").filter(inside & (F.col("bit") == 1)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return ends.select("key").join(hits, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    hits = join_on(now, ends, ["key"]).filter(inside & (F.col("bit") == 1)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return join_on(ends.select("key"), hits, ["key"], "left").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def pages(now: DataFrame) -> DataFrame:

@@ -123,6 +123,36 @@ def publish(output: DataFrame, tree: DataFrame, root: str) -> int:
     return version
 
 
+def take(records: DataFrame, part: str, number: str, what: list[str], root: str, width: int = LEAF) -> int:
+    """One run over ``records``: publishes those that no run published before, with the new tree; returns the version.
+
+    Records are told apart by (part, number, what); repeated ones come once, one whose ``what`` changed
+    comes again. Only leaves whose digest differs from the saved tree's are read again. A run that
+    dies before its commit publishes nothing, and the next one takes the same records.
+    """
+    spark = records.sparkSession
+    cols = [part, number, *what]
+    once = records.filter(F.col(number).isNotNull()).select(*cols).distinct()
+    tree = materialize(leaves(once, part, number, what, width), "tree")
+    saved = published(spark, root, "tree")
+    differ = materialize(changed_leaves(tree, tree.limit(0) if saved is None else saved), "changed")
+    n = differ.count()
+
+    def inside(df: DataFrame) -> DataFrame:
+        at = differ.select(F.col("part").alias("__p"), F.col("node").alias("__n"))
+        met = F.col(part).eqNullSafe(F.col("__p")) & (F.floor(F.col(number) / F.lit(width)) == F.col("__n"))
+        return df.join(small_or_plain(at, n, 40), met, "left_semi")
+
+    new = inside(once)
+    for v in range(1, (current(spark, root) or 0) + 1):
+        done = inside(published(spark, root, "output", v)).select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(cols)])
+        same = F.lit(True)
+        for i, c in enumerate(cols):
+            same = same & F.col(c).eqNullSafe(F.col(f"__d{i}"))
+        new = new.join(done, same, "left_anti")
+    return publish(new, tree, root)
+
+
 def _fs(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -137,9 +167,9 @@ def current(spark: SparkSession, root: str) -> int | None:
     return max(found, default=None)
 
 
-def published(spark: SparkSession, root: str, what: str) -> DataFrame | None:
-    """'output' or 'tree' of the last committed version, or None before the first."""
-    version = current(spark, root)
+def published(spark: SparkSession, root: str, what: str, version: int | None = None) -> DataFrame | None:
+    """'output' or 'tree' of a committed version, by default the last; None before the first."""
+    version = current(spark, root) if version is None else version
     if version is None:
         return None
     folder = spark.read.text(f"{root}/commit-{version:012d}").first()[0]

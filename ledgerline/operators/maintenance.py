@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..shared import join_on
 from .resolve import alive, newest
 
 
@@ -19,7 +20,7 @@ def retained(log: DataFrame, by: list[str], horizon: int, version: str = "versio
 def bottom_drop(kept: DataFrame, by: list[str], now: int) -> DataFrame:
     """At the bottom level a record whose only kept row is dead goes too."""
     n = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return kept.join(n, by).filter(~((F.col("__n") == 1) & ~alive(now))).drop("__n")
+    return join_on(kept, n, by).filter(~((F.col("__n") == 1) & ~alive(now))).drop("__n")
 
 
 def live_tables(manifest: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.glob import matches
 from ..schema import ID, STRING
+from ..shared import join_on
 from .scan import prefix_scan
 
 
@@ -50,7 +51,7 @@ def history(log: DataFrame, as_of: int | None = None) -> DataFrame:
         log = log.filter(F.col("version") <= as_of)
     up = prefix_scan(log, ID, "version", {"pos": F.lit(1)})
     total = log.groupBy(*ID).agg(F.count(F.lit(1)).alias("__n"))
-    return up.join(total, ID).withColumn("pos", F.col("__n") - F.col("pos") + 1).drop("__n")
+    return join_on(up, total, ID).withColumn("pos", F.col("__n") - F.col("pos") + 1).drop("__n")
 
 
 def physical_name(dtype: Column, key: Column, sub: Column) -> Column:

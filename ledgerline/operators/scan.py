@@ -1,4 +1,4 @@
-"""Ordered running sums and minima that don't put a hot key's rows into one task."""
+"""Ordered running sums and minima that don't put a hot key's rows into one task. A null key is a key; rows of null order come first."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..shared import materialize
+from ..shared import join_on, materialize
 
 #: Order numbers per range chunk.
 WIDTH = 1 << 18
@@ -30,14 +30,14 @@ def prefix_scan(df: DataFrame, key: list[str], order: str, sums: dict[str, Colum
     totals = df.withColumn("__c", F.floor(F.col(order) / F.lit(width))).groupBy(*key, "__c").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     if lows:
         least = cut.groupBy(*key, "__c").agg(*[F.min(f"__s_{n}").alias(f"__l_{n}") for n in lows])
-        totals = totals.join(least, [*key, "__c"])
+        totals = join_on(totals, least, [*key, "__c"])
     outer = W.partitionBy(*key).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
     for n in sums:
         totals = totals.withColumn(f"__b_{n}", F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)))
     for n in lows:
         totals = totals.withColumn(f"__a_{n}", F.coalesce(F.min(F.col(f"__b_{n}") + F.col(f"__l_{n}")).over(outer), F.lit(0)))
     keep = [*key, "__c", *[f"__b_{n}" for n in sums], *[f"__a_{n}" for n in lows]]
-    out = cut.join(totals.select(*keep), [*key, "__c"])
+    out = join_on(cut, totals.select(*keep), [*key, "__c"])
     return out.select(
         *df.columns, *[(F.col(f"__b_{n}") + F.col(f"__s_{n}")).alias(n) for n in sums],
         *[F.least(F.col(f"__a_{n}"), F.col(f"__b_{n}") + F.col(f"__m_{n}"), F.lit(0)).alias(to) for n, to in lows.items()],
@@ -51,7 +51,7 @@ def previous(df: DataFrame, key: list[str], order: str, col: str, out: str, widt
     cut = cut.withColumn("__p", F.lag(col).over(inner)).withColumn("__f", F.row_number().over(inner) == 1)
     last = df.select(*key, F.floor(F.col(order) / F.lit(width)).alias("__c"), F.struct(order, F.col(col).alias("__v")).alias("__r")).groupBy(*key, "__c").agg(F.max("__r").alias("__r"))
     last = last.withColumn("__q", F.lag("__r.__v").over(W.partitionBy(*key).orderBy("__c"))).select(*key, "__c", "__q")
-    return cut.join(last, [*key, "__c"]).select(*df.columns, F.when(F.col("__f"), F.col("__q")).otherwise(F.col("__p")).alias(out))
+    return join_on(cut, last, [*key, "__c"]).select(*df.columns, F.when(F.col("__f"), F.col("__q")).otherwise(F.col("__p")).alias(out))
 
 
 def ranked(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
@@ -65,4 +65,4 @@ def ranked(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFra
     counts = cut.groupBy(*key, "__c").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*key).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("__b", before).drop("__n")
-    return within.join(counts, [*key, "__c"]).select(*df.columns, (F.col("__i") + F.col("__b")).cast("bigint").alias(out))
+    return join_on(within, counts, [*key, "__c"]).select(*df.columns, (F.col("__i") + F.col("__b")).cast("bigint").alias(out))

@@ -71,3 +71,14 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by columns of equal names where null equals null; the left side's key columns stay."""
+    other = right
+    for k in keys:
+        other = other.withColumnRenamed(k, f"__on_{k}")
+    met = F.lit(True)
+    for k in keys:
+        met = met & left[k].eqNullSafe(other[f"__on_{k}"])
+    return left.join(other, met, how).drop(*[f"__on_{k}" for k in keys])

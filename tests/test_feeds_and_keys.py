@@ -159,6 +159,22 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert incremental.published(spark, root, "output").count() == 3
 
 
+def test_runs_take_each_record_once(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    rows = [("f", i, f"k{i}") for i in range(400)] + [("f", 3, None), ("g", None, "x")]
+    df = lambda r: spark.createDataFrame(r, "feed string, seq bigint, key string")
+    run = lambda r: incremental.take(df(r), "feed", "seq", ["key"], root, width=16)
+    out = lambda v: {tuple(r) for r in incremental.published(spark, root, "output", v).collect()}
+    run(rows[:200] + rows[:50])
+    run(rows)
+    assert out(1) == set(rows[:200]) and out(2) == set(rows[200:401])
+    df([("f", 999, "z")]).write.parquet(f"{root}/v3-died/output")
+    run([*rows, ("f", 7, "changed"), ("f", 5000, "late")])
+    assert out(3) == {("f", 7, "changed"), ("f", 5000, "late")}
+    run([*rows, ("f", 7, "changed"), ("f", 5000, "late")])
+    assert out(4) == set()
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["PUT", "DEL", "2", "1"]), st.sampled_from(["a", "b", None]), st.integers(0, 3), st.sampled_from([None, T0])), max_size=25))
 def test_feed_property(spark, ops):

@@ -218,3 +218,16 @@ def test_expiry_timers(spark, tmp_path):
     q = stream.expiry_timers(files).writeStream.format("memory").queryName("expired").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["key"], r["expired_at"]) for r in spark.table("expired").collect()] == [("a", s0 + 10)]
+
+
+def test_null_keys_are_keys(spark):
+    ops = spark.createDataFrame([(None, 1, "RPUSH", "a", "x"), (None, 2, "LPUSH", None, "x"), ("k", 3, "RPUSH", "c", "x"), (None, 4, "RPOP", None, "x"), (None, 5, None, "z", "x")], "key string, version bigint, op string, elem string, place string")
+    assert {(r["key"], r["pos"], r["elem"]) for r in lists.contents(ops).collect()} == {(None, 0, None), ("k", 0, "c")}
+    assert [(r["version"], r["result"]) for r in lists.pops(ops).collect()] == [(4, "a")]
+    assert lists.contents(ops.limit(0)).collect() == []
+    x = log(spark, [("s", None, "", "1", None, False, 0, 1), ("s", None, "", "2", None, None, None, 2), (None, "a", None, "3", None, True, 0, 3)])
+    assert {r["value"] for r in resolve.resolve(x, now=1).collect()} == {"2"}
+    assert sorted(r["pos"] for r in resolve.history(x).collect()) == [1, 1, 2]
+    assert len(maintenance.bottom_drop(maintenance.retained(x, ["dtype", "key", "sub"], 9), ["dtype", "key", "sub"], 0).collect()) == 1
+    r = scan.ranked(spark.createDataFrame([(None, 3), ("a", 1), (None, 1), ("a", 9)], "k string, v bigint"), ["k"], ["v"], "i")
+    assert {tuple(x) for x in r.collect()} == {(None, 1, 1), (None, 3, 2), ("a", 1, 1), ("a", 9, 2)}

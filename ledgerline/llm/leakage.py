@@ -10,6 +10,7 @@ leaves its task.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -54,8 +55,40 @@ def _number(word: bytes) -> bool:
     return len(word) <= 4 and word.isdigit()
 
 
-def _reach(item: list[int], doc: list[int], i: int, j: int, most: int) -> list[int]:
-    """Item words from i that meet doc words from j with 0, 1, ... ``most`` differences, ending in one that agrees.
+_SPAN = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def traced(text: str) -> list[tuple[bytes, int, int]]:
+    """words() without the numbers, each with the range of the text that it came from.
+
+    The same steps, taken sign by sign; for the few texts of which spans are cut out.
+    """
+    parts, start, end, i = [], [], [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and (unicodedata.combining(text[j]) or not same_look(text[j])):
+            j += 1
+        piece = same_look(text[i:j]).lower()
+        parts.append(piece)
+        start += [i] * len(piece)
+        end += [j] * len(piece)
+        i = j
+    t = "".join(parts)
+    for m in _HEADER.finditer("\n" + t):
+        a, z = max(0, m.start() - 1), m.end() - 1
+        t = t[:a] + "\n" * (z - a) + t[z:]
+    gone = np.zeros(len(t), dtype=bool)
+    for m in _BREAK.finditer(t):
+        gone[m.start() : m.end()] = True
+    gone |= np.array([c == "-" for c in t], dtype=bool)
+    kept = np.flatnonzero(~gone)
+    t = _MARK.sub(" ", "".join(t[k] for k in kept))
+    found = [(m.group().encode("utf-8", "replace"), start[kept[m.start()]], end[kept[m.end() - 1]]) for m in _SPAN.finditer(t)]
+    return [f for f in found if not _number(f[0])]
+
+
+def _reach(item: list[int], doc: list[int], i: int, j: int, most: int) -> list[tuple[int, int]]:
+    """How many item words from i, and document words from j, meet with 0, 1, ... ``most`` differences, ending in one that agrees.
 
     Furthest-reaching points per diagonal: a difference replaces, drops or adds a word.
     """
@@ -68,8 +101,8 @@ def _reach(item: list[int], doc: list[int], i: int, j: int, most: int) -> list[i
             b += 1
         return a
 
-    far, best = {0: slide(0, 0)}, 0
-    best = far[0]
+    far = {0: slide(0, 0)}
+    best = (far[0], far[0])
     out = [best]
     for _ in range(most):
         new: dict[int, int] = {}
@@ -80,23 +113,22 @@ def _reach(item: list[int], doc: list[int], i: int, j: int, most: int) -> list[i
         far = {}
         for d, a in new.items():
             far[d] = s = slide(a, d)
-            if s > a and s > best:
-                best = s
+            if s > a and s > best[0]:
+                best = (s, s + d)
         out.append(best)
     return out
 
 
 def stretch(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int] | None:
-    """The longest case around the agreeing words item[i], doc[j]: (first item word, last + 1), or None."""
+    """The longest case around the agreeing words item[i], doc[j]: (first document word, last + 1), or None."""
     most = len(item) // ONE_IN
     right = _reach(item, doc, i, j, most)
     left = _reach(item[:i][::-1], doc[:j][::-1], 0, 0, most)
-    found = None
-    for a, x in enumerate(left):
-        for b, y in enumerate(right):
-            n = x + y
-            if n >= LEAST and (a + b) * ONE_IN <= n and (found is None or n > found[1] - found[0]):
-                found = (i - x, i + y)
+    found, longest = None, LEAST - 1
+    for a, (x, u) in enumerate(left):
+        for b, (y, v) in enumerate(right):
+            if x + y > longest and (a + b) * ONE_IN <= x + y:
+                found, longest = (j - u, j + v), x + y
     return found
 
 
@@ -150,8 +182,7 @@ def search_shard(docs: list[tuple[int, list[bytes]]], items: Items) -> list[tupl
             if (p - 1, k - 1) in seen:  # the same run
                 continue
             if found := stretch(item_ids[item], doc_words[d], k, p):
-                first = max(0, p - (k - found[0]))
-                out.append((docs[d][0], items.ids[item], first, min(len(doc_words[d]), p + found[1] - k)))
+                out.append((docs[d][0], items.ids[item], *found))
     return out
 
 
@@ -175,10 +206,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", chars: bool = False) -> DataFrame:
     """(doc_id, item_id, spans): each document with each item it carries, and the merged spans of words to remove.
 
     ``spans`` is 'first-last' word numbers, counted without page headers and numbers, separated by blanks.
+    With ``chars`` there is also ``chars``, the same spans as 'start-end' of characters of the text, end not included.
     Items are read whole to the driver: a test set is a bounded table (checked: ITEM_BYTES). Null and
     empty texts carry nothing; items of fewer than LEAST words can't be cases; repeated
     documents are cases each.
@@ -198,10 +230,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
                 found.extend((first[n][0], i, first[n][1] + a, first[n][1] + z) for n, i, a, z in search_shard(shard, known))
                 shard.clear()
 
-            for d, t in zip(b["doc"], b["text"]):
+            for row, (d, t) in enumerate(zip(b["doc"], b["text"])):
                 for at, ws in pieces(words(t), overlap):
                     n = len(first)
-                    first[n] = (d, at)
+                    first[n] = ((row, d), at)
                     shard.append((n, ws))
                     size += min(len(t), 6 * len(ws))
                     if size >= SHARD_CHARS:
@@ -209,13 +241,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
                         size = 0
             if shard:
                 close()
-            by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            by: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
             for d, i, a, z in found:
                 by[d, i].append((a, z))
-            if by:
-                yield pd.DataFrame({"doc_id": [k[0] for k in by], "item_id": [k[1] for k in by], "spans": [" ".join(f"{a}-{z - 1}" for a, z in merge(v)) for v in by.values()]})
-
-    return spread(docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna(), "doc").mapInPandas(run, "doc_id bigint, item_id bigint, spans string")
+            if not by:
+                continue
+            spans = [merge(v) for v in by.values()]
+            out = pd.DataFrame({"doc_id": [k[0][1] for k in by], "item_id": [k[1] for k in by], "spans": [" ".join(f"{a}-{z - 1}" for a, z in v) for v in spans]})
+            if chars:
+                places = {row: traced(b["text"].iloc[row]) for (row, _), _ in by}
+                out["chars"] = [" ".join(f"{places[k[0][0]][a][1]}-{places[k[0][0]][min(z, len(places[k[0][0]])) - 1][2]}" for a, z in v) for k, v in zip(by, spans)]
+            yield out
+
+    return spread(docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna(), "doc").mapInPandas(run, "doc_id bigint, item_id bigint, spans string" + ", chars string" * chars)
 
 
 #: Bound of the test items' text that is broadcast.

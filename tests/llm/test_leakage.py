@@ -143,3 +143,23 @@ def test_long_texts_in_pieces(spark, monkeypatch):
 def test_many_different_words():
     t = np.concatenate([np.random.default_rng(1).integers(1, 1 << 30, 300), np.arange(1, 40), np.arange(1, 40), [1 << 22, 0]])
     assert suffix_order(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "Cd", " ", "-", "-\n", "\n", "​", "e", "́", "ﬁ", "а", "(12)", "1234", "12345", "—", "X — AB-1 — page 7", "\n\nX y — AB-1/2 — page 7\n\n", ".", "_", "Ｗ", "\xad", "²"]), max_size=30))
+def test_traced_words_are_the_words(parts):
+    t = "".join(parts)
+    got = leakage.traced(t)
+    assert [w for w, _, _ in got] == [w for w in leakage.words(t) if not leakage._number(w)]
+    assert all(a < z <= len(t) for _, a, z in got)
+
+
+def test_cut_spans_leave_the_rest(spark):
+    rng = random.Random(6)
+    item = [rng.choice(WORDS) for _ in range(40)]
+    quote = " ".join(item[3:9] + ["and", "also"] + item[9:20]) + "\n\nCourt — AB-12/3 — page 3\n\n" + " ".join(item[20:35]).replace("e", "е")
+    text = "Vorher wird é gesagt. " + quote + " Nachher nichts."
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id bigint, text string")
+    (r,) = leakage.leaks(df, spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string"), chars=True).collect()
+    a, z = map(int, r["chars"].split("-"))
+    assert text[a:z] == quote and text[:a] + text[z:] == "Vorher wird é gesagt.  Nachher nichts."

@@ -19,11 +19,10 @@ def placed(ops: DataFrame, width: int = 1 << 18) -> DataFrame:
     """ops (key, version, op, elem) with push, hit (the op changed the list) and place; unknown ops are left out."""
     ops = ops.filter(F.col("op").isin("LPUSH", "RPUSH", "LPOP", "RPOP")).select("key", "version", "op", "elem")
     push, left = F.col("op").endswith("PUSH"), F.col("op").startswith("L")
-    # each scan reads its input twice, so the scans in a row are cut by written tables
-    walk = materialize(prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width), "walk")
-    walk = previous(walk, ["key"], "version", "low", "before", width)
-    walk = walk.withColumn("hit", push | (F.coalesce("before", F.lit(0)) == F.col("low"))).select("key", "version", "op", "elem", push.alias("push"), "hit")
-    walk = materialize(walk, "walk")
+    # a scan reads its input twice, so the two in a row are parted by a written table
+    walk = prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width)
+    hit = push | (F.col("s") + 1 > F.col("low"))  # a pop of a list that was longer than 0
+    walk = materialize(walk.select("key", "version", "op", "elem", push.alias("push"), hit.alias("hit")), "walk")
     moves = {"h": F.when(F.col("hit") & left, F.when(push, -1).otherwise(1)).otherwise(0), "t": F.when(F.col("hit") & ~left, F.when(push, 1).otherwise(-1)).otherwise(0)}
     at = prefix_scan(walk, ["key"], "version", moves, None, width)
     place = F.when(left, F.when(push, F.col("h")).otherwise(F.col("h") - 1)).otherwise(F.when(push, F.col("t") - 1).otherwise(F.col("t")))

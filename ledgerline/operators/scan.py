@@ -15,8 +15,8 @@ WIDTH = 1 << 18
 def prefix_scan(df: DataFrame, key: list[str], order: str, sums: dict[str, Column], lows: dict[str, str] | None = None, width: int = WIDTH) -> DataFrame:
     """``df`` with running sums per key in ascending ``order``, each including its row.
 
-    ``lows`` names, for some of the sums, a column for the least running sum so far (0 before the
-    first row). Rows are cut into ranges of ``order``; within a range a window runs, and ranges'
+    ``lows`` names, for some of the sums, a column for the least running sum before the row (at most
+    0, with which each key starts). Rows are cut into ranges of ``order``; within a range a window runs, and ranges'
     totals, few per key, are scanned and joined on. Equal orders are summed in one
     step only if ``order`` is unique per key, which callers ensure.
     """
@@ -25,12 +25,13 @@ def prefix_scan(df: DataFrame, key: list[str], order: str, sums: dict[str, Colum
     inner = W.partitionBy(*key, "__c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     for n, c in sums.items():
         cut = cut.withColumn(f"__s_{n}", F.sum(c).over(inner))
+    earlier = W.partitionBy(*key, "__c").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     for n in lows:
-        cut = cut.withColumn(f"__m_{n}", F.min(f"__s_{n}").over(inner))
-    totals = df.withColumn("__c", F.floor(F.col(order) / F.lit(width))).groupBy(*key, "__c").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    if lows:
-        least = cut.groupBy(*key, "__c").agg(*[F.min(f"__s_{n}").alias(f"__l_{n}") for n in lows])
-        totals = join_on(totals, least, [*key, "__c"])
+        cut = cut.withColumn(f"__m_{n}", F.min(f"__s_{n}").over(earlier))
+    if not lows:
+        totals = df.withColumn("__c", F.floor(F.col(order) / F.lit(width))).groupBy(*key, "__c").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    else:  # its input has the window's partitioning already
+        totals = cut.groupBy(*key, "__c").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()], *[F.min(f"__s_{n}").alias(f"__l_{n}") for n in lows])
     outer = W.partitionBy(*key).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
     for n in sums:
         totals = totals.withColumn(f"__b_{n}", F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)))

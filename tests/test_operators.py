@@ -55,9 +55,8 @@ def test_scans_over_ranges(spark, width):
         s, low, p = 0, 0, None
         for _, v, x in [r for r in rows if r[0] == k]:
             s += x
-            low = min(low, s)
             assert got[v] == (s, low, p)
-            p = s
+            low, p = min(low, s), s
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -1,4 +1,7 @@
-"""Bitmaps as one row per written bit (key, off, bit, version); pages of 32768 bits, 4096 bytes, exist where a bit was written."""
+"""Bitmaps as one row per written bit (key, off, bit, version); pages of 32768 bits, 4096 bytes, exist where a bit was written.
+
+A null key is a key; a null bit counts as 0; writes with a null or negative offset are refused; of two writes of a bit at one version the 1 stands; keys without writes have no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ PAGE = 32768
 
 def state(bits: DataFrame) -> DataFrame:
     """(key, off, bit): the last write of each bit."""
-    return bits.groupBy("key", "off").agg(F.max(F.struct("version", "bit")).alias("r")).select("key", "off", "r.bit")
+    return bits.filter("off >= 0").groupBy("key", "off").agg(F.max(F.struct("version", "bit")).alias("r")).select("key", "off", "r.bit")
 
 
 def setbit(bits: DataFrame) -> DataFrame:

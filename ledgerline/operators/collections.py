@@ -1,4 +1,8 @@
-"""Hashes, sets, sorted sets: one state per member, counted, intersected or ranged."""
+"""Hashes, sets, sorted sets: one state per member, counted, intersected or ranged.
+
+A null key or member is a value of its own; a null ``deleted`` counts as not deleted; empty
+tables give no rows; other columns are not read.
+"""
 
 from __future__ import annotations
 

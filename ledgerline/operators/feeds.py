@@ -1,4 +1,8 @@
-"""Publish and subscribe, replication and replay, over bounded tables."""
+"""Publish and subscribe, replication and replay, over bounded tables.
+
+Messages without time reach no one; a null channel is a channel; a subscription without end holds on; entries without key or number
+change nothing; of entries of one number the first to arrive stands.
+"""
 
 from __future__ import annotations
 

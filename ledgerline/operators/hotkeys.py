@@ -23,19 +23,19 @@ def eager_join(left: DataFrame, right: DataFrame, key: str, left_sums: dict[str,
     """Per key of either side: l_n, r_n, sums, and what the row-level join would give.
 
     ``pairs`` = l_n * r_n rows; ``j_l_x`` = sum of l_x over the joined rows = l_x * r_n;
-    ``j_r_y`` likewise. Null keys keep their counts but join nothing (pairs 0). A key
+    ``j_r_y`` likewise; these three are decimals of 38 digits, and sums are taken of whole numbers. Null keys keep their counts but join nothing (pairs 0). A key
     of one side only has count 0 on the other.
     """
     a, b = states(left, key, left_sums, "l_"), states(right, key, right_sums, "r_")
     both = a.withColumnRenamed("k", "lk").join(b.withColumnRenamed("k", "rk"), F.col("lk").eqNullSafe(F.col("rk")), "full_outer")
     both = both.withColumn("key", F.coalesce("lk", "rk"))
     n = {s: F.coalesce(F.col(f"{s}_n"), F.lit(0)) for s in "lr"}
-    joined = F.col("key").isNotNull().cast("bigint")
+    wide = {s: F.when(F.col("key").isNotNull(), n[s]).otherwise(F.lit(0)).cast("decimal(19,0)") for s in "lr"}  # products of two hot counts leave 64 bits
     return both.select(
-        "key", n["l"].alias("l_n"), n["r"].alias("r_n"), (n["l"] * n["r"] * joined).alias("pairs"),
+        "key", n["l"].alias("l_n"), n["r"].alias("r_n"), (wide["l"] * wide["r"]).alias("pairs"),
         *[F.col("l_" + x) for x in left_sums or {}], *[F.col("r_" + x) for x in right_sums or {}],
-        *[(F.coalesce(F.col("l_" + x), F.lit(0)) * n["r"] * joined).alias("j_l_" + x) for x in left_sums or {}],
-        *[(F.coalesce(F.col("r_" + x), F.lit(0)) * n["l"] * joined).alias("j_r_" + x) for x in right_sums or {}],
+        *[(F.coalesce(F.col("l_" + x), F.lit(0)).cast("decimal(19,0)") * wide["r"]).alias("j_l_" + x) for x in left_sums or {}],
+        *[(F.coalesce(F.col("r_" + x), F.lit(0)).cast("decimal(19,0)") * wide["l"]).alias("j_r_" + x) for x in right_sums or {}],
     )
 
 

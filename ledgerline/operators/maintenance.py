@@ -1,4 +1,8 @@
-"""Compaction, manifest, ingestion, value-log, recovery and restore, as queries over the log and its tables."""
+"""Compaction, manifest, ingestion, value-log, recovery and restore, as queries over the log and its tables.
+
+Rows of null version or time are kept by no cut that asks for it; tables with a null bound meet no other;
+null sizes count 0 bytes; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Point, as-of, prefix and snapshot reads: all are the newest row per record, filtered."""
+"""Point, as-of, prefix and snapshot reads: all are the newest row per record, filtered.
+
+Null parts of a record's identity are values of their own; a null version is older than any other and lies
+past every as-of cut; of equal versions the row with the greatest other columns stands; empty logs give no rows.
+"""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ WIDTH = 1 << 18
 
 
 def prefix_scan(df: DataFrame, key: list[str], order: str, sums: dict[str, Column], lows: dict[str, str] | None = None, width: int = WIDTH) -> DataFrame:
-    """``df`` with running sums per key in ascending ``order``, each including its row.
+    """``df`` with running sums per key in ascending ``order``, each including its row; null adds nothing.
 
     ``lows`` names, for some of the sums, a column for the least running sum before the row (at most
     0, with which each key starts). Rows are cut into ranges of ``order``; within a range a window runs, and ranges'
@@ -24,7 +24,7 @@ def prefix_scan(df: DataFrame, key: list[str], order: str, sums: dict[str, Colum
     cut = df.withColumn("__c", F.floor(F.col(order) / F.lit(width)))
     inner = W.partitionBy(*key, "__c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     for n, c in sums.items():
-        cut = cut.withColumn(f"__s_{n}", F.sum(c).over(inner))
+        cut = cut.withColumn(f"__s_{n}", F.coalesce(F.sum(c).over(inner), F.lit(0)))
     earlier = W.partitionBy(*key, "__c").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     for n in lows:
         cut = cut.withColumn(f"__m_{n}", F.min(f"__s_{n}").over(earlier))

@@ -1,4 +1,7 @@
-"""Strings, counters and expiry."""
+"""Strings, counters and expiry.
+
+A null key is a key; a null delta adds nothing; a null ``deleted`` counts as not deleted; an ``expires_at`` of null or 0 is never.
+"""
 
 from __future__ import annotations
 

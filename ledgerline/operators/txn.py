@@ -1,4 +1,8 @@
-"""Snapshots, serializable validation, watermarks and atomic batches."""
+"""Snapshots, serializable validation, watermarks and atomic batches.
+
+Transactions with a null timestamp are left out; a null key is no candidate for a conflict, and in outcomes a key of its own; null versions are no versions; empty tables give
+no rows, totals and watermarks of 0; repeated rows of a transaction's key change nothing.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +29,7 @@ def conflict_candidates(txns: DataFrame, span: int) -> DataFrame:
     ``span``, and a transaction meets those of its own and the range before, so a hot
     key is spread over ranges; what is emitted are the conflicts themselves.
     """
+    txns = txns.dropna(subset=["txn", "read_ts", "commit_ts"])
     a = txns.select("txn", "key", "read_ts", "commit_ts", F.explode(F.array(F.floor(F.col("commit_ts") / span), F.floor(F.col("commit_ts") / span) - 1)).alias("c"))
     b = txns.select(F.col("txn").alias("other"), F.col("key").alias("k"), F.col("commit_ts").alias("t"), F.floor(F.col("commit_ts") / span).alias("d"))
     return a.join(b, (F.col("key") == F.col("k")) & (F.col("c") == F.col("d")) & (F.col("t") > F.col("read_ts")) & (F.col("t") < F.col("commit_ts"))).select("txn", "other", "key")
@@ -68,7 +73,7 @@ def outcomes(txns: DataFrame, by: str = "key") -> DataFrame:
         if out := close():
             yield pd.DataFrame(out, columns=["txn", "committed"])
 
-    ready = txns.select(F.col(by).alias("part"), "txn", "key", "read_ts", "commit_ts", "writes")
+    ready = txns.dropna(subset=["txn", "read_ts", "commit_ts"]).select(F.col(by).alias("part"), "txn", "key", "read_ts", "commit_ts", "writes")
     return ready.repartition("part").sortWithinPartitions("part", "commit_ts", "txn").mapInPandas(run, schema)
 
 

@@ -36,7 +36,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_key_report(spark: SparkSession, d: str) -> DataFrame:
     """Per key of either table: rows, value bytes, deletes, and the size and byte sum of the row-level join."""
-    return _key_states(spark, d).select("key", "l_n", "r_n", "pairs", "l_bytes", "r_bytes", "r_deletes", "j_l_bytes", "j_r_bytes")
+    wide = [F.col(c).cast("double").alias(c) for c in ("pairs", "j_l_bytes", "j_r_bytes")]
+    return _key_states(spark, d).select("key", "l_n", "r_n", "l_bytes", "r_bytes", "r_deletes", *wide)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +101,10 @@ where key is not null and n * 100 >= total * 2""",
 with l as (select key, count(*) n, sum(strlen(value)) b from wal_log group by key),
 r as (select key, count(*) n, sum(strlen(value)) b, sum(case deleted when true then 1 when false then 0 end) x from batch_writes group by key)
 select coalesce(l.key, r.key) as key, cast(coalesce(l.n, 0) as bigint) as l_n, cast(coalesce(r.n, 0) as bigint) as r_n,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.n, 0) * coalesce(r.n, 0) end as bigint) as pairs,
+  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.n, 0) * coalesce(r.n, 0) end as double) as pairs,
   cast(l.b as bigint) as l_bytes, cast(r.b as bigint) as r_bytes, cast(r.x as bigint) as r_deletes,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.b, 0) * coalesce(r.n, 0) end as bigint) as j_l_bytes,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(r.b, 0) * coalesce(l.n, 0) end as bigint) as j_r_bytes
+  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.b, 0) * coalesce(r.n, 0) end as double) as j_l_bytes,
+  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(r.b, 0) * coalesce(l.n, 0) end as double) as j_r_bytes
 from l full outer join r on l.key is not distinct from r.key""",
     "p4_found": _P4 + "select ref_table, strftime(seen_at, '%Y-%m-%d') as period, ptr_id from o",
     "p4_per_period": _P4 + "select ref_table, strftime(seen_at, '%Y-%m-%d') as period, cast(count(*) as bigint) as n_orphans from o group by 1, 2",

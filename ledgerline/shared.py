@@ -67,8 +67,13 @@ def small_or_plain(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """Spread a table of fewer splits than cores before heavy work per row; with more splits nothing moves."""
+    """Spread a table of fewer splits than cores before heavy work per row; with more splits nothing moves.
+
+    A plan with a shuffle is spread by that already, and counting its splits would run it.
+    """
     spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
 

@@ -124,6 +124,17 @@ def test_maintenance(spark):
     assert [r["seq"] for r in maintenance.live_tables(m).collect()] == [2]
 
 
+def test_nulls_in_counters_bits_and_transactions(spark):
+    c = spark.createDataFrame([("a", 1, False, None), ("a", 2, False, 5), (None, 3, False, 2), ("a", 4, True, 0), ("a", 5, None, 1)], "key string, version bigint, reset boolean, delta bigint")
+    assert {r["version"]: r["n"] for r in strings.incr(c, "key", "version", "reset", "delta").collect()} == {1: 0, 2: 5, 3: 2, 4: 0, 5: 1}
+    b = spark.createDataFrame([("k", 1, 1, 1), ("k", None, 1, 2), ("k", -4, 1, 3), (None, 2, None, 4), (None, 3, 1, 5)], "key string, off bigint, bit bigint, version bigint")
+    assert {r["key"]: r["n"] for r in bitmaps.bitcount(bitmaps.state(b)).collect()} == {"k": 1, None: 1}
+    assert {r["key"]: r["n"] for r in bitmaps.bitcount(bitmaps.state(b), 0, 9).collect()} == {"k": 1, None: 1}
+    t = spark.createDataFrame([("p", 1, None, 0, 5, True), ("p", 2, None, 3, 7, True), ("p", 3, "a", None, 8, True), (None, 4, "a", 1, 9, True)], "part string, txn bigint, key string, read_ts bigint, commit_ts bigint, writes boolean")
+    assert {r["txn"]: r["committed"] for r in txn.outcomes(t, "part").collect()} == {1: True, 2: False, 4: True}
+    assert txn.conflict_candidates(t, 100).collect() == []
+
+
 def test_feeds(spark):
     m = spark.createDataFrame([(1, 5), (1, 6), (1, 9), (2, 5)], "channel bigint, t bigint")
     s = spark.createDataFrame([(1, 5, 9), (1, 6, None)], "channel bigint, since bigint, until bigint")

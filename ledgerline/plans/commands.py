@@ -189,16 +189,16 @@ def srem_effect(s: SparkSession, d: str) -> DataFrame:
 
 
 def smembers(s: SparkSession, d: str) -> DataFrame:
-    return ranked(R.resolve(L.big_sets(s, d)).select("key", F.col("sub").alias("member")), ["key"], ["member"], "pos")
+    return ranked(R.resolve(L.sets(s, d)).select("key", F.col("sub").alias("member")), ["key"], ["member"], "pos")
 
 
 def sismember(s: SparkSession, d: str) -> DataFrame:
-    state = R.resolve(L.big_sets(s, d)).filter("key = 's:click'").select("sub", F.lit(1).alias("is"))
+    state = R.resolve(L.sets(s, d)).filter("key = 's:click'").select("sub", F.lit(1).alias("is"))
     return L.events(s, d).select(F.concat(F.lit("m"), "u").alias("sub")).distinct().join(state, "sub", "left").select(F.col("sub").alias("member"), F.coalesce("is", F.lit(0)).cast("bigint").alias("is_member"))
 
 
 def scard(s: SparkSession, d: str) -> DataFrame:
-    return C.size(R.resolve(L.big_sets(s, d)))
+    return C.size(R.resolve(L.sets(s, d)))
 
 
 def sinter_2(s: SparkSession, d: str) -> DataFrame:

@@ -42,8 +42,8 @@ def sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def big_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Members with a value over 100 only, so that intersections differ."""
-    return sets(spark, d).filter(F.col("score") > 100)
+    """Additions with a value over 100 only, so that intersections differ, and all removals."""
+    return sets(spark, d).filter((F.col("score") > 100) | F.col("deleted"))
 
 
 def zsets(spark: SparkSession, d: str) -> DataFrame:

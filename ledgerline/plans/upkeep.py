@@ -83,8 +83,10 @@ def compact_retention(s: SparkSession, d: str) -> DataFrame:
 
 
 def compact_bottom_drop(s: SparkSession, d: str) -> DataFrame:
-    by = ["dtype", "key", "sub"]
-    return M.bottom_drop(M.retained(L.strings(s, d).filter(F.col("version") <= HORIZON), by, HORIZON), by, NOW).select("key", "version")
+    """The bottom level drops only while no reader is active, so the horizon is the log's last version."""
+    by, log = ["dtype", "key", "sub"], L.strings(s, d)
+    last = log.agg(F.max("version")).first()[0] or 0
+    return M.bottom_drop(M.retained(log, by, last), by, NOW).select("key", "version")
 
 
 def _tables(s: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Queries that take in the whole log, held against a fold of the smallest tables in Python."""
 
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as e
@@ -44,3 +47,13 @@ def test_intersections_keep_removals(spark, events):
     held = set_state(events, 100)
     assert {r["member"] for r in run(spark, "sinter_2")} == held["click"] & held["view"]
     assert {r["member"] for r in run(spark, "sinter_n")} == held["click"] & held["view"] & held["purchase"] & held["signup"]
+
+
+def test_bottom_level_of_the_whole_log(spark, tmp_path):
+    first = {  # past the constant horizon of 4000: a put over a tombstone, a tombstone over a put, a new record
+        1: (7, "error"), 2: (8, "click"), 4500: (7, "click"), 4501: (8, "error"), 4502: (9, "click"),
+    }
+    at = [datetime(2024, 1, 1)] * len(first)
+    pq.write_table(pa.table({"event_id": [v - 1 for v in first], "ts": pa.array(at, pa.timestamp("us")), "user_id": [u for u, _ in first.values()], "event_type": [t for _, t in first.values()], "value": [1.0] * len(first), "props": ["{}"] * len(first)}), tmp_path / "events.parquet")
+    got = {(r["key"], r["version"]) for r in e.queries()["compact_bottom_drop"](spark, str(tmp_path)).collect()}
+    assert got == {("u:7", 4500), ("u:9", 4502)}

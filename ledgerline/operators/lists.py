@@ -37,10 +37,10 @@ def pops(ops: DataFrame) -> DataFrame:
 
 
 def contents(ops: DataFrame) -> DataFrame:
-    """(key, pos, elem, n): what each list holds, pos from 0 at the head, n its length; empty lists have no rows."""
+    """(key, pos, elem, n, version): what each list holds, pos from 0 at the head, n its length, version that of the push; empty lists have no rows."""
     last = placed(ops).filter("hit").groupBy("key", "place").agg(F.max(F.struct("version", "push", "elem")).alias("r")).filter("r.push")
     ends = last.groupBy("key").agg(F.min("place").alias("head"), F.count(F.lit(1)).alias("n"))
-    return join_on(last, ends, ["key"]).select("key", (F.col("place") - F.col("head")).cast("bigint").alias("pos"), F.col("r.elem").alias("elem"), "n")
+    return join_on(last, ends, ["key"]).select("key", (F.col("place") - F.col("head")).cast("bigint").alias("pos"), F.col("r.elem").alias("elem"), "n", F.col("r.version").alias("version"))
 
 
 def lrange(held: DataFrame, first: int, last: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lists import contents
 from ..operators.scan import previous
-from ..schema import BITMAP, HASH, SET, STRING, ZSET
+from ..schema import BITMAP, HASH, LIST, SET, STRING, ZSET
 from ..shared import read
 
 
@@ -67,6 +68,12 @@ def deques(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.concat(F.lit("q:"), "u").alias("key"), "version", op.alias("op"), F.col("event_id").cast("string").alias("elem")).filter("op is not null")
 
 
+def list_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the lists hold at the end: a row per element, at its position."""
+    held = contents(deques(spark, d))
+    return held.select(F.lit(LIST).alias("dtype"), "key", F.col("pos").cast("string").alias("sub"), F.col("elem").alias("value"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("deleted"), F.lit(0).cast("bigint").alias("expires_at"), "version", F.lit(0).cast("bigint").alias("ts_s"))
+
+
 def counters(spark: SparkSession, d: str) -> DataFrame:
     """c:<user>: signup SETs 0, others add floor(value). Columns key, version, reset, delta, expires_at."""
     e = events(spark, d)
@@ -75,7 +82,7 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
 
 def all_types(spark: SparkSession, d: str) -> DataFrame:
     out = strings(spark, d)
-    for x in (hashes, sets, zsets, bit_log):
+    for x in (hashes, sets, zsets, bit_log, list_log):
         out = out.unionByName(x(spark, d))
     return out
 

@@ -36,6 +36,18 @@ def set_state(events, over=None):
     return held
 
 
+def list_state(events):
+    """What each list holds, as (version of the push, event id)."""
+    held = {}
+    for v, u, et, *_ in events:
+        x = held.setdefault(f"q:{u}", [])
+        if et in ("click", "signup"):
+            x.insert(len(x) if et == "click" else 0, (v, str(v - 1)))
+        elif et in ("view", "error") and x:
+            x.pop(-1 if et == "view" else 0)
+    return {k: x for k, x in held.items() if x}
+
+
 def test_sets_of_the_whole_log(spark, events):
     held = set_state(events)
     assert {(r["key"], r["member"]) for r in run(spark, "smembers")} == {(f"s:{t}", m) for t, x in held.items() for m in x}
@@ -57,3 +69,12 @@ def test_bottom_level_of_the_whole_log(spark, tmp_path):
     pq.write_table(pa.table({"event_id": [v - 1 for v in first], "ts": pa.array(at, pa.timestamp("us")), "user_id": [u for u, _ in first.values()], "event_type": [t for _, t in first.values()], "value": [1.0] * len(first), "props": ["{}"] * len(first)}), tmp_path / "events.parquet")
     got = {(r["key"], r["version"]) for r in e.queries()["compact_bottom_drop"](spark, str(tmp_path)).collect()}
     assert got == {("u:7", 4500), ("u:9", 4502)}
+
+
+def test_lists_are_among_all_types(spark, events):
+    held = list_state(events)
+    lists = lambda name, col="key": {r[col] for r in run(spark, name) if r[col].startswith("q:")}
+    assert held and lists("exists_any_type") == set(held)
+    assert {r["key"]: r["members"] for r in run(spark, "collection_members") if r["key"].startswith("q:")} == {k: len(x) for k, x in held.items()}
+    assert {(r["key"], r["sub"], r["value"], r["version"]) for r in run(spark, "get_with_version") if r["dtype"] == "l"} == {(k, str(i), el, v) for k, x in held.items() for i, (v, el) in enumerate(x)}
+    assert lists("glob_qmark") == {k for k in held if len(k) == 4 and k[3] in "13"}

@@ -147,7 +147,8 @@ class Store:
         return names.union(resolve.names(contents(self.lists).select("key"), glob)).distinct().orderBy("key")
 
     def do_scan(self, cursor: str | None = None, glob: str = "*", count: int = 10) -> DataFrame:
-        return resolve.page(resolve.resolve(self.log, now=self.now).select("key"), cursor, int(count), glob)
+        there = resolve.resolve(self.log, now=self.now).select("key").union(contents(self.lists).select("key"))
+        return resolve.page(there, cursor, int(count), glob)
 
     # hashes
     def do_hset(self, key: str, *pairs: str) -> DataFrame:

@@ -78,3 +78,15 @@ def test_lists_are_among_all_types(spark, events):
     assert {r["key"]: r["members"] for r in run(spark, "collection_members") if r["key"].startswith("q:")} == {k: len(x) for k, x in held.items()}
     assert {(r["key"], r["sub"], r["value"], r["version"]) for r in run(spark, "get_with_version") if r["dtype"] == "l"} == {(k, str(i), el, v) for k, x in held.items() for i, (v, el) in enumerate(x)}
     assert lists("glob_qmark") == {k for k in held if len(k) == 4 and k[3] in "13"}
+
+
+def test_scan_names_lists(spark):
+    from ledgerline.store import Store
+
+    s = Store(spark, now=0)
+    s.command("SET", "a", "1")
+    s.command("RPUSH", "b", "x")
+    s.command("RPUSH", "c", "x")
+    s.command("RPOP", "c")
+    assert [r["key"] for r in s.command("SCAN").orderBy("pos").collect()] == ["a", "b"]
+    assert [r["key"] for r in s.command("SCAN", "a").collect()] == ["b"]

@@ -84,8 +84,9 @@ def snapshot_full(s: SparkSession, d: str) -> DataFrame:
 
 
 def _wanted(s: SparkSession, d: str) -> DataFrame:
-    """One request per customer: u:<custkey mod 400>, so with misses and repeats."""
-    return L.read(s, d, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u:"), (F.col("c_custkey") % 400).cast("string")).alias("key"))
+    """Two requests per customer, u:<custkey> and u:<nationkey>, so with misses and repeats."""
+    asked = F.posexplode(F.array(F.col("c_custkey"), F.col("c_nationkey").cast("bigint"))).alias("i", "k")
+    return L.read(s, d, "customer").select("c_custkey", asked).select((F.col("c_custkey") * 2 + F.col("i")).alias("pos"), F.concat(F.lit("u:"), F.col("k").cast("string")).alias("key"))
 
 
 def mget(s: SparkSession, d: str) -> DataFrame:

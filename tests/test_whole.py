@@ -61,12 +61,15 @@ def test_intersections_keep_removals(spark, events):
     assert {r["member"] for r in run(spark, "sinter_n")} == held["click"] & held["view"] & held["purchase"] & held["signup"]
 
 
+def write_events(at, rows):
+    """events of {version: (user, type)}, in one second of value 9."""
+    ts = pa.array([datetime(2024, 1, 1)] * len(rows), pa.timestamp("us"))
+    pq.write_table(pa.table({"event_id": [v - 1 for v in rows], "ts": ts, "user_id": [u for u, _ in rows.values()], "event_type": [t for _, t in rows.values()], "value": [9.0] * len(rows), "props": ["{}"] * len(rows)}), at / "events.parquet")
+
+
 def test_bottom_level_of_the_whole_log(spark, tmp_path):
-    first = {  # past the constant horizon of 4000: a put over a tombstone, a tombstone over a put, a new record
-        1: (7, "error"), 2: (8, "click"), 4500: (7, "click"), 4501: (8, "error"), 4502: (9, "click"),
-    }
-    at = [datetime(2024, 1, 1)] * len(first)
-    pq.write_table(pa.table({"event_id": [v - 1 for v in first], "ts": pa.array(at, pa.timestamp("us")), "user_id": [u for u, _ in first.values()], "event_type": [t for _, t in first.values()], "value": [1.0] * len(first), "props": ["{}"] * len(first)}), tmp_path / "events.parquet")
+    # past the constant horizon of 4000: a put over a tombstone, a tombstone over a put, a new record
+    write_events(tmp_path, {1: (7, "error"), 2: (8, "click"), 4500: (7, "click"), 4501: (8, "error"), 4502: (9, "click")})
     got = {(r["key"], r["version"]) for r in e.queries()["compact_bottom_drop"](spark, str(tmp_path)).collect()}
     assert got == {("u:7", 4500), ("u:9", 4502)}
 
@@ -90,3 +93,18 @@ def test_scan_names_lists(spark):
     s.command("RPOP", "c")
     assert [r["key"] for r in s.command("SCAN").orderBy("pos").collect()] == ["a", "b"]
     assert [r["key"] for r in s.command("SCAN", "a").collect()] == ["b"]
+
+
+def test_keys_past_the_first_hundreds_are_asked_for(spark, tmp_path):
+    write_events(tmp_path, {1: (2, "click"), 2: (42, "click"), 3: (420, "click"), 4: (421, "click"), 5: (402, "error")})
+    n = [2, 42, 402, 420, 421, 999]
+    pq.write_table(pa.table({"c_custkey": n, "c_nationkey": pa.array([2] * len(n), pa.int32())}), tmp_path / "customer.parquet")
+    q = lambda name: e.queries()[name](spark, str(tmp_path)).collect()
+    there = {2: "v0", 42: "v1", 420: "v2", 421: "v3"}
+    assert {(r["pos"], r["key"], r["value"], r["present"]) for r in q("mget")} == {(2 * k + i, f"u:{x}", there.get(x), x in there) for k in n for i, x in enumerate((k, 2))}
+    assert {(r["pos"], r["key"]) for r in q("exists_keys")} == {(2 * k + i, f"u:{x}") for k in n for i, x in enumerate((k, 2)) if x in there}
+    assert {(r["key"], r["value"], r["tombstone"]) for r in q("getdel")} == {(f"u:{u}", v, 6) for u, v in there.items()}
+    # DEL of none:2, u:42, u:402, u:420, h:421 and u:999
+    assert [r["n"] for r in q("del_count")] == [3]
+    left = {r["key"] for r in q("del_effect")}
+    assert {"u:2", "u:421", "h:2", "h:42", "h:420"} <= left and not left & {"u:42", "u:420", "h:421"}

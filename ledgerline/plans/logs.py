@@ -100,14 +100,21 @@ BITS = "bits as (select concat('b:', et) as key, user_id * 37 as off, cast(case
 BIT_LOG = "bit_log as (select 'b' as dtype, key, cast(off as varchar) as sub, cast(bit as varchar) as value, cast(bit as double) as score, false as deleted, cast(0 as bigint) as expires_at, version, cast(0 as bigint) as ts_s from bits)"
 DEQUES = "deques as (select concat('q:', u) as key, version, case et when 'click' then 'RPUSH' when 'signup' then 'LPUSH' when 'view' then 'RPOP' when 'error' then 'LPOP' end as op, cast(event_id as varchar) as elem from e where et in ('click', 'signup', 'view', 'error'))"
 COUNTERS = "counters as (select concat('c:', u) as key, version, et = 'signup' as reset, case when et = 'signup' then cast(0 as bigint) else cast(floor(v) as bigint) end as delta, ts_s from e)"
-_ALL = "all_types as (select * from strings union all select * from hashes union all select * from sets union all select * from zsets union all select * from bit_log)"
+# the list after each operation, by recursion over a key's operations
+FOLD = """ops as (select *, row_number() over (partition by key order by version) i from deques),
+df as (select key, cast(0 as bigint) as i, cast([] as varchar[]) as a, cast(null as varchar) as r, cast(0 as bigint) as version, '' as op from (select distinct key from ops) k
+ union all select ops.key, ops.i, case ops.op when 'RPUSH' then list_append(df.a, ops.elem) when 'LPUSH' then list_prepend(ops.elem, df.a) when 'RPOP' then df.a[1:len(df.a)-1] else df.a[2:len(df.a)] end,
+  case ops.op when 'RPOP' then df.a[len(df.a)] when 'LPOP' then df.a[1] end, ops.version, ops.op from df join ops on ops.key = df.key and ops.i = df.i + 1),
+held as (select key, unnest(a) as elem, cast(generate_subscripts(a, 1) - 1 as bigint) as pos, len(a) as n from (select key, arg_max(a, i) a from df group by key) x)"""
+LIST_LOG = "list_log as (select 'l' as dtype, key, cast(pos as varchar) as sub, elem as value, cast(null as double) as score, false as deleted, cast(0 as bigint) as expires_at, cast(elem as bigint) + 1 as version, cast(0 as bigint) as ts_s from held)"
+_ALL = "all_types as (select * from strings union all select * from hashes union all select * from sets union all select * from zsets union all select * from bit_log union all select * from list_log)"
 
 
 def with_(*ctes: str) -> str:
     return "with recursive " + ", ".join((E, *ctes)) + " "
 
 
-ALL = ", ".join((STRINGS, HASHES, SETS, ZSETS, BITS, BIT_LOG, _ALL))
+ALL = ", ".join((STRINGS, HASHES, SETS, ZSETS, BITS, BIT_LOG, DEQUES, FOLD, LIST_LOG, _ALL))
 
 
 def newest_sql(log: str, where: str = "true") -> str:

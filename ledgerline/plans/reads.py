@@ -116,7 +116,7 @@ _S = L.with_(L.STRINGS)
 _A = L.with_(L.ALL)
 _live = f"{L.newest_sql('all_types')} z where {L.LIVE}"
 _names_sql = f"{_A} select distinct key from {_live} and key <> ''"
-_wanted_sql = "w as (select c_custkey as pos, concat('u:', cast(c_custkey % 400 as varchar)) as key from customer)"
+_wanted_sql = "w as (select c_custkey * 2 as pos, concat('u:', cast(c_custkey as varchar)) as key from customer union all select c_custkey * 2 + 1 as pos, concat('u:', cast(c_nationkey as varchar)) as key from customer)"
 _slive = f"{L.newest_sql('strings')} z where {L.LIVE}"
 
 SQL = {

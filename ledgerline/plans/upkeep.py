@@ -277,7 +277,7 @@ select key, 'mine' as value, true as own from own where not gone union all selec
     "min_read_ts": f"{_E} select coalesce(min(case when began > coalesce(ended, 0) then began end), max(v)) as min_read_ts from (select u, max(case when et = 'signup' then version end) began, max(case when et = 'error' then version end) ended, max(version) v from e group by u) x",
     "batch_atomicity": "select batch_id, cast(count(*) as bigint) as entries, cast(count(distinct version) as bigint) as versions, count(distinct version) <> 1 as torn from batch_writes group by batch_id",
     "compact_retention": f"{_S} select key, version, deleted from (select *, row_number() over (partition by key, version <= {HORIZON} order by version desc) rn from strings) x where version > {HORIZON} or rn = 1",
-    "compact_bottom_drop": f"{_S} select key, version from {L.newest_sql('strings', f'version <= {HORIZON}')} z where {L.LIVE}",
+    "compact_bottom_drop": f"{_S} select key, version from {L.newest_sql('strings')} z where {L.LIVE}",
     "tombstone_ratio": f"{_TAB} select t, level, n as rows, cast(dead as bigint) as dead, dead / n > 0.3 as due from tab",
     "level_scores": f"{_TAB} select level, cast(count(*) as bigint) as tables, cast(sum(n) as bigint) as rows, case level when 0 then count(*) / 4.0::double when 1 then cast(sum(n) as bigint) / 10000.0::double else cast(sum(n) as bigint) / 100000.0::double end as score from tab group by level",
     "overlapping_tables": f"{_TAB} select a.t as a, b.t as b from tab a join tab b on a.t < b.t and a.mn <= b.mx and b.mn <= a.mx",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import join_on
+from ..shared import per_key
 from .scan import previous
 
 PAGE = 32768
@@ -39,9 +39,9 @@ def bitcount(now: DataFrame, first: int | None = None, last: int | None = None,
     z: Column = F.lit(last) if last >= 0 else size + last
     at = F.col("off") if unit == "BIT" else F.floor(F.col("off") / 8)
     inside = (at >= a) & (at <= z)
-    ends = length(now)
-    hits = join_on(now, ends, ["key"]).filter(inside & (F.col("bit") == 1)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return join_on(ends.select("key"), hits, ["key"], "left").select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    if min(first, last) < 0:  # only these need the allocated end
+        now = per_key(now, length(now), ["key"])
+    return now.groupBy("key").agg(F.count(F.when(inside & (F.col("bit") == 1), 1)).alias("n"))
 
 
 def pages(now: DataFrame) -> DataFrame:

@@ -11,20 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import join_on, materialize
-from .scan import prefix_scan, previous
+from ..shared import materialize, per_key
+from .scan import one_range, prefix_scan, previous
 
 
 def placed(ops: DataFrame, width: int = 1 << 18) -> DataFrame:
     """ops (key, version, op, elem) with push, hit (the op changed the list) and place; unknown ops are left out."""
     ops = ops.filter(F.col("op").isin("LPUSH", "RPUSH", "LPOP", "RPOP")).select("key", "version", "op", "elem")
     push, left = F.col("op").endswith("PUSH"), F.col("op").startswith("L")
-    # a scan reads its input twice, so the two in a row are parted by a written table
-    walk = prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width)
+    one = one_range(ops, "version", width)
+    walk = prefix_scan(ops, ["key"], "version", {"s": F.when(push, 1).otherwise(-1)}, {"s": "low"}, width, one)
     hit = push | (F.col("s") + 1 > F.col("low"))  # a pop of a list that was longer than 0
-    walk = materialize(walk.select("key", "version", "op", "elem", push.alias("push"), hit.alias("hit")), "walk")
+    walk = walk.select("key", "version", "op", "elem", push.alias("push"), hit.alias("hit"))
+    if not one:  # in ranges a scan reads its input twice, so the two in a row are parted by a written table
+        walk = materialize(walk, "walk")
     moves = {"h": F.when(F.col("hit") & left, F.when(push, -1).otherwise(1)).otherwise(0), "t": F.when(F.col("hit") & ~left, F.when(push, 1).otherwise(-1)).otherwise(0)}
-    at = prefix_scan(walk, ["key"], "version", moves, None, width)
+    at = prefix_scan(walk, ["key"], "version", moves, None, width, one)
     place = F.when(left, F.when(push, F.col("h")).otherwise(F.col("h") - 1)).otherwise(F.when(push, F.col("t") - 1).otherwise(F.col("t")))
     return at.select("key", "version", "op", "elem", "push", "hit", place.alias("place"))
 
@@ -40,7 +42,7 @@ def contents(ops: DataFrame) -> DataFrame:
     """(key, pos, elem, n, version): what each list holds, pos from 0 at the head, n its length, version that of the push; empty lists have no rows."""
     last = placed(ops).filter("hit").groupBy("key", "place").agg(F.max(F.struct("version", "push", "elem")).alias("r")).filter("r.push")
     ends = last.groupBy("key").agg(F.min("place").alias("head"), F.count(F.lit(1)).alias("n"))
-    return join_on(last, ends, ["key"]).select("key", (F.col("place") - F.col("head")).cast("bigint").alias("pos"), F.col("r.elem").alias("elem"), "n", F.col("r.version").alias("version"))
+    return per_key(last, ends, ["key"]).select("key", (F.col("place") - F.col("head")).cast("bigint").alias("pos"), F.col("r.elem").alias("elem"), "n", F.col("r.version").alias("version"))
 
 
 def lrange(held: DataFrame, first: int, last: int) -> DataFrame:

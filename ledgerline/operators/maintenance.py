@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..shared import join_on
+from ..shared import per_key
 from .resolve import alive, newest
 
 
@@ -22,9 +22,12 @@ def retained(log: DataFrame, by: list[str], horizon: int, version: str = "versio
 
 
 def bottom_drop(kept: DataFrame, by: list[str], now: int) -> DataFrame:
-    """At the bottom level a record whose only kept row is dead goes too."""
-    n = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return join_on(kept, n, by).filter(~((F.col("__n") == 1) & ~alive(now))).drop("__n")
+    """At the bottom level a record whose only kept row is dead goes too.
+
+    A record is dead and alone iff its rows are one and none is alive: a count per record with map-side combine, met by salted rows.
+    """
+    n = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.max(alive(now)).alias("__any"))
+    return per_key(kept, n, by).filter((F.col("__n") > 1) | F.col("__any")).drop("__n", "__any")
 
 
 def live_tables(manifest: DataFrame) -> DataFrame:

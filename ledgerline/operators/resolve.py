@@ -14,7 +14,6 @@ from pyspark.sql.window import Window as W
 
 from ..functions.glob import matches
 from ..schema import ID, STRING
-from ..shared import join_on
 from .scan import prefix_scan
 
 
@@ -53,9 +52,9 @@ def history(log: DataFrame, as_of: int | None = None) -> DataFrame:
     """All versions with their position in (key ascending, version descending) per record."""
     if as_of is not None:
         log = log.filter(F.col("version") <= as_of)
-    up = prefix_scan(log, ID, "version", {"pos": F.lit(1)})
-    total = log.groupBy(*ID).agg(F.count(F.lit(1)).alias("__n"))
-    return join_on(up, total, ID).withColumn("pos", F.col("__n") - F.col("pos") + 1).drop("__n")
+    # null versions are the oldest, so they come last here
+    down = log.withColumn("__down", F.coalesce(-F.col("version"), F.lit((1 << 63) - 1)))
+    return prefix_scan(down, ID, "__down", {"pos": F.lit(1)}).drop("__down")
 
 
 def physical_name(dtype: Column, key: Column, sub: Column) -> Column:

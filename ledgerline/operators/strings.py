@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import ID
 from ..shared import materialize
 from .resolve import alive, newest
-from .scan import prefix_scan, previous
+from .scan import WIDTH, one_range, prefix_scan, previous
 
 
 def expiry(option: Column, amount: Column, at: Column) -> Column:
@@ -32,8 +32,10 @@ def counter_value(text: Column) -> Column:
 
 def incr(ops: DataFrame, key: str, version: str, reset: str, delta: str) -> DataFrame:
     """``ops`` with ``n``, the counter after each: sums since the last reset (which sets to its delta). Sums past 64 bits fail."""
-    seg = materialize(prefix_scan(ops, [key], version, {"__seg": F.col(reset).cast("bigint")}), "seg")
-    return prefix_scan(seg, [key, "__seg"], version, {"n": F.col(delta)}).drop("__seg")
+    one = one_range(ops, version, WIDTH)
+    seg = prefix_scan(ops, [key], version, {"__seg": F.col(reset).cast("bigint")}, one=one)
+    # in ranges a scan reads its input twice, so the two in a row are parted by a written table
+    return prefix_scan(seg if one else materialize(seg, "seg"), [key, "__seg"], version, {"n": F.col(delta)}, one=one).drop("__seg")
 
 
 def live_before(log: DataFrame, out: str = "was") -> DataFrame:

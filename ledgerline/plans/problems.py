@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hotkeys, incremental, orphans, patches, reconcile
-from ..shared import read
+from ..shared import read, shared_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,13 +55,12 @@ def p4_per_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    def records() -> DataFrame:
-        wal = read(spark, d, "wal_log").filter((F.col("version") != 0) & F.col("key").isNotNull())
-        repl = read(spark, d, "repl_feed")
-        return wal.select(F.lit("wal_log").alias("feed"), F.col("version").alias("seq"), "key", "arrived_at").unionByName(
-            repl.select(F.lit("repl_feed").alias("feed"), "seq", "key", "arrived_at"))
-
-    return incremental.pending(records, incremental.speaking_runs(read(spark, d, "repl_runs")))
+    """The run after those of the log: their saved state is taken over once, then one run goes from its tree."""
+    wal = read(spark, d, "wal_log").filter((F.col("version") != 0) & F.col("key").isNotNull())
+    repl = read(spark, d, "repl_feed")
+    records = wal.select(F.lit("wal_log").alias("feed"), F.col("version").alias("seq"), "key", "arrived_at").unionByName(
+        repl.select(F.lit("repl_feed").alias("feed"), "seq", "key", "arrived_at"))
+    return incremental.pending(records, incremental.speaking_runs(read(spark, d, "repl_runs")), shared_path(spark, "runs"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_current_state, p3_found, p3_key_report, p4_found, p4_per_period, p5_found)}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
+#: Tasks that share the rows of one key where they meet its one row.
+SALTS = 8
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, hint: str = "t") -> DataFrame:
+def shared_path(spark: SparkSession, hint: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = os.path.join(shared_dir(spark), f"ledgerline-{hint}-{uuid.uuid4().hex}")
+    _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, hint: str = "t", by: list[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once, keeps the columns apart
-    and survives the loss of any executor.
+    and survives the loss of any executor. Columns ``by``, of few values, become folders, so that a filter on them reads no other rows.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"ledgerline-{hint}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    _written.append((spark, path))
+    path = shared_path(spark, hint)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +86,13 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
 
 
+def per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """join_on() of many rows a key with one row a key: ``right`` is repeated ``salts`` times, so a key with a third of the rows is met in as many tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts))
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return join_on(left.withColumn("__salt", salt), many, [*keys, "__salt"], how).drop("__salt")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join by columns of equal names where null equals null; the left side's key columns stay."""
     other = right

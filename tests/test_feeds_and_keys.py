@@ -92,9 +92,11 @@ def brute_orphans(refs, parents):
     return sorted(i for i, f, o, t in refs if f is not None and o is not None and not there(f, o, t))
 
 
-@pytest.mark.parametrize("filter_bytes", [32 << 20, 8])
-def test_orphans_against_brute_force(spark, monkeypatch, filter_bytes):
-    monkeypatch.setattr(orphans, "FILTER_BYTES", filter_bytes)  # 8: too small, so all take the exact check
+@pytest.mark.parametrize(("filter_bytes", "chunk_rows"), [(32 << 20, 200_000), (8, 10), (8, 1)])
+def test_orphans_against_brute_force(spark, monkeypatch, filter_bytes, chunk_rows):
+    monkeypatch.setattr(orphans, "FILTER_BYTES", filter_bytes)  # 8: the filter is parted, hot words apart
+    monkeypatch.setattr(orphans, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(orphans, "HOT_SHARE", 4)
     rng = random.Random(6)
     parents = [(rng.choice([1, 2, None]), rng.choice([None, *range(12)]), rng.choice([None, *range(100)]), None) for _ in range(120)]
     parents = [(f, o, a, rng.choice([None, a + rng.randrange(20) if a is not None else None])) for f, o, a, _ in parents] * 2
@@ -104,16 +106,27 @@ def test_orphans_against_brute_force(spark, monkeypatch, filter_bytes):
     assert orphan_ids(spark, [], parents) == []
 
 
-def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 8])
+def test_bloom_has_no_false_negatives_and_few_false_positives(spark, monkeypatch, filter_bytes):
+    monkeypatch.setattr(orphans, "FILTER_BYTES", filter_bytes)
     p = spark.range(5000).select(F.col("id").alias("a"))
-    f = orphans.bloom(p, ["a"])
+    words, shift = orphans.bloom(p, ["a"], 5000)
     asked = spark.range(15000).select(F.col("id").alias("a"))
-    hit = {r[0] for r in asked.filter(orphans._probe(spark, f, ["a"])).collect()}
-    assert hit >= set(range(5000))
+    flagged = orphans.probed(asked, ["a"], words, shift, 5000).collect()
+    hit = {r["a"] for r in flagged if r["may_be"]}
+    assert len(flagged) == 15000 and hit >= set(range(5000))
     assert len(hit) - 5000 < 0.05 * 10000
 
 
-def test_pending_against_brute_force(spark):
+def test_many_cuts_are_placed_like_few(spark):
+    rng = random.Random(5)
+    cuts = sorted(rng.sample(range(3000), 700))
+    df = spark.range(-5, 3010)
+    got = df.select("id", orphans._place(cuts, F.col("id")).alias("c")).collect()
+    assert all(r["c"] == sum(x <= r["id"] for x in cuts) for r in got)
+
+
+def test_pending_against_brute_force(spark, tmp_path):
     rng = random.Random(8)
     entries = [("f", rng.randrange(1, 3000), rng.choice([None, "a", "b"]), at(rng.choice([None, *range(100)]))) for _ in range(1500)]
     entries += rng.sample(entries, 300) + [("g", 5, "a", at(1)), ("f", None, "a", at(1))]
@@ -131,20 +144,21 @@ def test_pending_against_brute_force(spark):
     done = {(f, q, k) for f, q, k, a in entries if q is not None and any(r[2] == f and r[3] < q <= r[4] and a is not None and a <= r[5] for r in ok)}
     want = {(f, q, k) for f, q, k, _ in entries if q is not None} - done
     e = spark.createDataFrame(entries, "feed string, seq bigint, key string, arrived_at timestamp_ntz")
-    got = incremental.pending(lambda: e, incremental.speaking_runs(spark.createDataFrame(runs, schema)), width=64).collect()
+    pending = lambda e, runs, width: incremental.pending(e, incremental.speaking_runs(spark.createDataFrame(runs, schema)), f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}", width)
+    got = pending(e, runs, 64).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
-    none = incremental.pending(lambda: e, incremental.speaking_runs(spark.createDataFrame([], schema))).count()
+    none = pending(e, [], 8).count()
     assert none == len({(f, q, k) for f, q, k, _ in entries if q is not None})
-    assert incremental.pending(lambda: e.limit(0), incremental.speaking_runs(spark.createDataFrame(runs, schema))).count() == 0
+    assert pending(e.limit(0), runs, 8).count() == 0
 
 
 def test_tree_descends_to_changed_leaves_only(spark):
     e = spark.range(5000).select(F.lit("f").alias("feed"), F.col("id").alias("seq"), F.lit("k").alias("key"))
     changed = e.withColumn("key", F.when(F.col("seq").isin(17, 4999), "x").otherwise(F.col("key"))).filter("seq <> 2000")
-    trees = [incremental.leaves(x, "feed", "seq", ["key"], width=16) for x in (e, changed)]
-    got = {r["node"] for r in incremental.changed_leaves(*trees, fanout=4, levels=3).collect()}
+    trees = [incremental.grown(incremental.leaves(x, "feed", "seq", ["key"], width=16), 3, 4) for x in (e, changed)]
+    got = {r["node"] for r in incremental.changed_leaves(*trees, 3, 4).collect()}
     assert got == {1, 125, 312}
-    assert incremental.changed_leaves(trees[0], trees[0], fanout=4).collect() == []
+    assert incremental.changed_leaves(trees[0], trees[0], 3, 4).collect() == []
 
 
 def test_publish_is_all_or_nothing(spark, tmp_path):
@@ -153,10 +167,34 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     e = spark.range(10).select(F.lit("f").alias("feed"), F.col("id").alias("seq"), F.lit("k").alias("key"))
     tree = incremental.leaves(e, "feed", "seq", ["key"])
     assert incremental.publish(e, tree, root) == 1
-    e.write.parquet(f"{root}/v2-died/output")  # a run that died before its marker
+    # a run that died after it wrote its marker and before the rename, its name first of all
+    e.withColumn("key", F.lit("DEAD")).write.parquet(f"{root}/v2-died/output")
+    (tmp_path / "out" / "tmp-0000").write_text(f"{root}/v2-died")
     assert incremental.current(spark, root) == 1
     assert incremental.publish(e.limit(3), tree, root) == 2
-    assert incremental.published(spark, root, "output").count() == 3
+    assert {r["key"] for r in incremental.published(spark, root, "output").collect()} == {"k"}
+    assert incremental.published(spark, root, "output").count() == 3 and (tmp_path / "out" / "tmp-0000").exists()
+
+
+def test_of_two_writers_with_one_base_one_commits(spark, tmp_path):
+    root = f"file://{tmp_path}/out"
+    e = spark.range(10).select(F.lit("f").alias("feed"), F.col("id").alias("seq"), F.lit("k").alias("key"))
+    tree = incremental.leaves(e, "feed", "seq", ["key"])
+    assert incremental.publish(e, tree, root, 0) == 1
+    with pytest.raises(RuntimeError, match="another run"):
+        incremental.publish(e.limit(2), tree, root, 0)
+    assert incremental.current(spark, root) == 1 and incremental.published(spark, root, "output").count() == 10
+    assert not list((tmp_path / "out").glob("tmp-*"))
+
+
+def test_many_runs_are_kept_in_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "PARTS", 2)
+    root = f"file://{tmp_path}/runs"
+    e = spark.range(60).select(F.lit("f").alias("feed"), F.col("id").alias("seq"), F.lit("k").alias("key"))
+    for v in range(1, 5):
+        assert incremental.take(e.filter(F.col("seq") < 10 * v), "feed", "seq", ["key"], root) == v
+        assert {r["seq"] for r in incremental.published(spark, root, "output").collect()} == set(range(10 * v - 10, 10 * v))
+        assert len(incremental._marker(spark, root, v)[2]) <= 2
 
 
 def test_runs_take_each_record_once(spark, tmp_path):

@@ -45,10 +45,10 @@ def inverse(a: np.ndarray) -> np.ndarray:
     return np.array([pow(x, -1, p) if x else 0 for x in a.ravel().tolist()], dtype=np.uint64).reshape(a.shape)
 
 
-def points(n: int) -> np.ndarray:
-    """n fixed sample points, spread over the field by Weyl steps."""
-    step = 1303196383728911113  # any odd constant; sets of this size never meet it by design
-    return np.array([(step * (i + 1) + 7) % int(P) for i in range(n)], dtype=np.uint64)
+def points(n: int, turn: int = 0) -> np.ndarray:
+    """n fixed sample points, spread over the field by Weyl steps; each turn has its own."""
+    step = 1303196383728911113  # any odd constant
+    return np.array([(step * (i + 1) + 7 + 1000003 * turn) % int(P) for i in range(n)], dtype=np.uint64)
 
 
 def char_poly(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ Each copy is reduced to 61-bit hashes of its standing rows, split into buckets b
 key. A bucket's set is summarised by its characteristic polynomial at a few
 points; from the quotient of two copies' values the rational function of the
 differing hashes is interpolated. Its degree bound doubles until two spare points
-verify it. Only evaluation vectors of a few longs per bucket cross between the
+verify it; a bucket that needs more than LAST_BOUND is split by further bits of its keys' hashes, and
+its parts double on, so the work stays in proportion to the differences. Only evaluation vectors of a few longs per bucket cross between the
 copies; only keys of recovered hashes are fetched and compared field by field.
 """
 
@@ -20,6 +21,8 @@ from ..functions import field
 from ..shared import materialize, small_or_plain
 
 FIRST_BOUND, LAST_BOUND, SPARE = 8, 64, 2
+#: Parts of a bucket whose bound ran out.
+SPLIT = 4
 ROWS_PER_BUCKET = 48
 
 
@@ -48,8 +51,8 @@ def _sets(df: DataFrame, key: str, fields: list[str], order: str, buckets: int)
     )
 
 
-def _evaluator(n: int):
-    at = field.points(n)
+def _evaluator(n: int, turn: int = 0):
+    at = field.points(n, turn)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def evaluate(lists: pd.Series) -> pd.Series:
@@ -64,9 +67,9 @@ def _evaluator(n: int):
 _SOLVED = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("p", T.ArrayType(T.LongType())), T.StructField("q", T.ArrayType(T.LongType()))])
 
 
-def interpolate(fa: np.ndarray, fb: np.ndarray, size_gap: np.ndarray, bound: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+def interpolate(fa: np.ndarray, fb: np.ndarray, size_gap: np.ndarray, bound: int, turn: int = 0) -> list[tuple[bool, np.ndarray, np.ndarray]]:
     """Of each bucket the monic polynomials whose quotient agrees with fa / fb at all points, if the bound suffices."""
-    z = field.points(bound + SPARE)
+    z = field.points(bound + SPARE, turn)
     out: list = [(False, None, None)] * len(size_gap)
     ratio = field.mul(fa, field.inverse(fb))
     for gap in np.unique(size_gap):
@@ -93,10 +96,10 @@ def interpolate(fa: np.ndarray, fb: np.ndarray, size_gap: np.ndarray, bound: int
     return out
 
 
-def _solver(bound: int):
+def _solver(bound: int, turn: int = 0):
     @F.pandas_udf(_SOLVED)
     def solved(fa: pd.Series, fb: pd.Series, gap: pd.Series) -> pd.DataFrame:
-        found = interpolate(np.stack(fa.to_list()).astype(np.uint64), np.stack(fb.to_list()).astype(np.uint64), gap.to_numpy(), bound) if len(gap) else []
+        found = interpolate(np.stack(fa.to_list()).astype(np.uint64), np.stack(fb.to_list()).astype(np.uint64), gap.to_numpy(), bound, turn) if len(gap) else []
         return pd.DataFrame({"ok": [x[0] for x in found], "p": [x[1] for x in found], "q": [x[2] for x in found]})
 
     return solved
@@ -116,15 +119,21 @@ def _roots(hashes: pd.Series, marks: pd.Series, poly: pd.Series) -> pd.Series:
     return pd.Series([np.asarray(m)[z] for m, z in zip(marks, np.split(zero, ends[:-1]))])
 
 
+def _split(sets: DataFrame, todo: DataFrame, left_over: int, turn: int) -> DataFrame:
+    """The buckets ``todo`` of one copy, each in SPLIT parts by another hash of its keys."""
+    one = sets.join(small_or_plain(todo, left_over, 16), "bucket", "left_semi").select("bucket", F.explode(F.arrays_zip("h", "kh")).alias("x"))
+    part = F.pmod(F.xxhash64("x.kh", F.lit(turn)), F.lit(SPLIT))
+    return one.groupBy((F.col("bucket") * SPLIT + part).alias("bucket")).agg(F.collect_list("x").alias("x")).select("bucket", F.col("x.h").alias("h"), F.col("x.kh").alias("kh"))
+
+
 def differing_keys(left: DataFrame, right: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
     """Hashes ``kh`` of the keys whose standing rows differ (a superset by hash chance only)."""
-    spark = left.sparkSession
-    # bucket counts follow the data, so a bucket stays as small at any size
+    # bucket counts follow the data, so a bucket stays as small at any size; counts come from the files' footers
     buckets = max(1, -(-max(left.count(), right.count()) // ROWS_PER_BUCKET))
     a, b = (materialize(_sets(x, key, fields, order, buckets), "sets") for x in (left, right))
-    found, todo, bound = [], None, FIRST_BOUND
+    found, todo, left_over, bound, turn = [], None, 0, FIRST_BOUND, 0
     while True:
-        evaluate = _evaluator(bound + SPARE)
+        evaluate = _evaluator(bound + SPARE, turn)
         sides = []
         for x, n in ((a, "a"), (b, "b")):
             if todo is not None:
@@ -135,19 +144,19 @@ def differing_keys(left: DataFrame, right: DataFrame, key: str, fields: list[str
             "bucket", F.coalesce("fa", ones).alias("fa"), F.coalesce("fb", ones).alias("fb"),
             (F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0))).alias("gap"))
         same = F.col("fa") == F.col("fb")
-        solved = materialize(met.filter(~same).select("bucket", _solver(bound)("fa", "fb", "gap").alias("s")).select("bucket", "s.*"), "solved")
+        solved = materialize(met.filter(~same).select("bucket", _solver(bound, turn)("fa", "fb", "gap").alias("s")).select("bucket", "s.*"), "solved")
         good = solved.filter("ok")
         for x, poly in ((a, "p"), (b, "q")):
             found.append(x.join(good.select("bucket", F.col(poly).alias("poly")), "bucket").select(F.explode(_roots("h", "kh", "poly")).alias("kh")))
         todo = solved.filter(~F.col("ok")).select("bucket")
         left_over = todo.count()
-        bound *= 2
-        if not left_over or bound > LAST_BOUND:
+        if not left_over:
             break
-    if left_over:
-        # past the last bound most of a bucket differs: its rows move, an anti join by hash is exact
-        rest = [x.join(todo, "bucket", "left_semi").select("bucket", F.explode(F.arrays_zip("h", "kh")).alias("x")).select("bucket", "x.h", "x.kh") for x in (a, b)]
-        found += [rest[i].join(rest[1 - i], ["bucket", "h"], "left_anti").select("kh") for i in (0, 1)]
+        bound *= 2
+        if bound > LAST_BOUND:  # the parts start again, at other points, in case one met an element
+            bound, turn = FIRST_BOUND, turn + 1
+            a, b = (materialize(_split(x, todo, left_over, turn), "sets") for x in (a, b))
+            todo = None
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

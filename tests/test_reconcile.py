@@ -81,3 +81,19 @@ def test_everything_differs_and_empty_copies(spark):
     assert found(spark, a, []) == brute(a, [])
     assert found(spark, [], []) == set()
     assert found(spark, a, a[::-1]) == set()
+
+
+@pytest.mark.parametrize("differ", [500, 37])
+def test_a_bucket_of_many_differences_is_split(spark, monkeypatch, differ):
+    monkeypatch.setattr(reconcile, "ROWS_PER_BUCKET", 5000)  # all in one bucket
+    turns = []
+    split = reconcile._split
+    monkeypatch.setattr(reconcile, "_split", lambda *x: turns.append(x[-1]) or split(*x))
+    a = rows([(f"k{i}", "a", 0) for i in range(1200)])
+    b = rows([(f"k{i}", "b" if i < differ else "a", 0) for i in range(1200)] + [("more", "x", 1)])
+    assert found(spark, a, b) == brute(a, b)
+    assert (max(turns) if turns else 0) >= (2 if differ == 500 else 1)
+
+
+def test_points_of_another_turn():
+    assert not set(field.points(66).tolist()) & set(field.points(66, 1).tolist())

@@ -13,10 +13,12 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shared import spread
 from .fmindex import FMIndex
@@ -29,62 +31,57 @@ SHARD_CHARS = 8_000_000
 #: Longer texts, in words, are searched in pieces that overlap by twice the longest item, so that each case lies in some piece.
 PIECE = 1_500_000
 
-_MARK = re.compile(r"[^\x00-\x7f\w]")
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 # a line of name, docket and page, each between long dashes
-_HEADER = re.compile(r"\n[^\n—]{2,160}—[^\n—]{2,60}— ?[^\W\d_]{1,12}\.? \d{1,5} *(?=\n|$)")
+_HEADER = re.compile(r"(?:\A|\n)[^\n—]{2,160}—[^\n—]{2,60}— ?[^\W\d_]{1,12}\.? \d{1,5} *(?=\n|\Z)")
 _BREAK = re.compile(r"-[ \n]*\n[ \n]*")
+# a paragraph's number: after its sign, in brackets, or before a point or bracket where a line or sentence begins
+_PARAGRAPH = re.compile(r"¶\s*\d{1,4}(?!\w)|[(\[] ?\d{1,4} ?[)\]]|(?:(?<![^\n])|(?<=[.;:!?][ \n]))\d{1,4}[.)](?=\s|\Z)")
+_HYPHEN = re.compile("-")
+_MARK = re.compile(r"[^\x00-\x7f\w]")
+#: What is evened out, in order: pattern, what stands for it, and a string without which it can't occur.
+_STEPS = [(_HEADER, "\n", "—"), (_BREAK, "", "-"), (_PARAGRAPH, " ", ""), (_HYPHEN, "", "-"), (_MARK, " ", "")]
 
 
 def words(text: str) -> list[bytes]:
     """Words in the form in which they are compared.
 
-    Look-alikes, case, punctuation and hyphens are evened out, page headers
-    and words of up to four digits (paragraph numbers) go, and words broken at a
-    line's end are joined.
+    Look-alikes, case, punctuation and hyphens are evened out, page headers and paragraphs' numbers go, and
+    words broken at a line's end are joined. Other numbers are words like any.
     """
     text = same_look(text).lower()
-    if "—" in text:
-        text = _HEADER.sub("\n", "\n" + text)
-    if "-\n" in text:
-        text = _BREAK.sub("", text)
-    return _MARK.sub(" ", text.replace("-", "")).encode("utf-8", "replace").translate(_BLANK).split()
-
-
-def _number(word: bytes) -> bool:
-    return len(word) <= 4 and word.isdigit()
+    for pattern, by, needs in _STEPS:
+        if needs in text:
+            text = pattern.sub(by, text)
+    return text.encode("utf-8", "replace").translate(_BLANK).split()
 
 
 _SPAN = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def traced(text: str) -> list[tuple[bytes, int, int]]:
-    """words() without the numbers, each with the range of the text that it came from.
+    """words(), each with the range of the text that it came from.
 
     The same steps, taken sign by sign; for the few texts of which spans are cut out.
     """
-    parts, start, end, i = [], [], [], 0
+    parts, at, i = [], [], 0
     while i < len(text):
         j = i + 1
         while j < len(text) and (unicodedata.combining(text[j]) or not same_look(text[j])):
             j += 1
         piece = same_look(text[i:j]).lower()
         parts.append(piece)
-        start += [i] * len(piece)
-        end += [j] * len(piece)
+        at += [(i, j)] * len(piece)
         i = j
     t = "".join(parts)
-    for m in _HEADER.finditer("\n" + t):
-        a, z = max(0, m.start() - 1), m.end() - 1
-        t = t[:a] + "\n" * (z - a) + t[z:]
-    gone = np.zeros(len(t), dtype=bool)
-    for m in _BREAK.finditer(t):
-        gone[m.start() : m.end()] = True
-    gone |= np.array([c == "-" for c in t], dtype=bool)
-    kept = np.flatnonzero(~gone)
-    t = _MARK.sub(" ", "".join(t[k] for k in kept))
-    found = [(m.group().encode("utf-8", "replace"), start[kept[m.start()]], end[kept[m.end() - 1]]) for m in _SPAN.finditer(t)]
-    return [f for f in found if not _number(f[0])]
+    for pattern, by, _ in _STEPS:
+        out, kept, last = [], [], 0
+        for m in pattern.finditer(t):
+            out += [t[last : m.start()], by]
+            kept += [*at[last : m.start()], *[(0, 0)] * len(by)]
+            last = m.end()
+        t, at = "".join([*out, t[last:]]), kept + at[last:]
+    return [(m.group().encode("utf-8", "replace"), at[m.start()][0], at[m.end() - 1][1]) for m in _SPAN.finditer(t)]
 
 
 def _reach(item: list[int], doc: list[int], i: int, j: int, most: int) -> list[tuple[int, int]]:
@@ -137,7 +134,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids = [r[0] for r in rows]
-        self.words = [[w for w in words(r[1]) if not _number(w)] for r in rows]
+        self.words = [words(r[1]) for r in rows]
         self.seeds: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
         for n, ws in enumerate(self.words):
             if len(ws) >= LEAST:
@@ -151,8 +148,6 @@ def search_shard(docs: list[tuple[int, list[bytes]]], items: Items) -> list[tupl
     symbols: defaultdict = defaultdict()
     symbols.default_factory = lambda: len(symbols) + 2
     parts = [np.array([symbols[w] for w in ws], dtype=np.int32) for _, ws in docs]
-    number = np.array([False, False, *map(_number, symbols)])
-    parts = [p[~number[p]] for p in parts]
     starts = np.cumsum([0, *[len(p) + 1 for p in parts]])
     text = np.ones(starts[-1], dtype=np.int32)
     for s, p in zip(starts, parts):
@@ -191,7 +186,6 @@ def pieces(ws: list[bytes], overlap: int) -> Iterator[tuple[int, list[bytes]]]:
     if len(ws) <= PIECE:
         yield 0, ws
         return
-    ws = [w for w in ws if not _number(w)]
     for at in range(0, max(1, len(ws) - overlap), max(1, PIECE - overlap)):
         yield at, ws[at : at + PIECE]
 
@@ -206,19 +200,36 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Bytes of test items that are searched at once; more are searched in groups.
+ITEM_BYTES = 64 << 20
+
+_CASE = "doc_id bigint, item_id bigint, words array<struct<start: bigint, stop: bigint>>"
+_CHARS = ", chars array<struct<start: bigint, stop: bigint>>"
+
+
+def _spans(v: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": int(a), "stop": int(z)} for a, z in v]
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", chars: bool = False) -> DataFrame:
-    """(doc_id, item_id, spans): each document with each item it carries, and the merged spans of words to remove.
+    """(doc_id, item_id, words): each document with each item it carries, and the merged ranges of its words (start, stop), stop not included.
 
-    ``spans`` is 'first-last' word numbers, counted without page headers and numbers, separated by blanks.
-    With ``chars`` there is also ``chars``, the same spans as 'start-end' of characters of the text, end not included.
-    Items are read whole to the driver: a test set is a bounded table (checked: ITEM_BYTES). Null and
+    Words are counted without page headers and paragraphs' numbers. With ``chars`` there is also ``chars``, the same as ranges of characters of the text.
+    Items' size is summed first; they come to the driver in groups of about ITEM_BYTES (one item of more is a group of its own), and the
+    documents are read once a group, so there may be any number of items. Null and
     empty texts carry nothing; items of fewer than LEAST words can't be cases; repeated
     documents are cases each.
     """
-    rows = [(r[0], r[1]) for r in items.select(item, text).dropna().collect()]
-    if sum(len(r[1]) for r in rows) > ITEM_BYTES:
-        raise ValueError("search the test items in several runs")
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    items = items.select(F.col(item).alias("item"), F.col(text).alias("text")).dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // ITEM_BYTES))
+    rows = spread(docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna(), "doc")
+    out = [_search(rows, items.filter(F.pmod(F.xxhash64("item"), F.lit(groups)) == g), chars) for g in range(groups)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _search(docs: DataFrame, items: DataFrame, chars: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Items(shared.value)
@@ -247,14 +258,25 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
             if not by:
                 continue
             spans = [merge(v) for v in by.values()]
-            out = pd.DataFrame({"doc_id": [k[0][1] for k in by], "item_id": [k[1] for k in by], "spans": [" ".join(f"{a}-{z - 1}" for a, z in v) for v in spans]})
+            out = pd.DataFrame({"doc_id": [k[0][1] for k in by], "item_id": [k[1] for k in by], "words": [_spans(v) for v in spans]})
             if chars:
                 places = {row: traced(b["text"].iloc[row]) for (row, _), _ in by}
-                out["chars"] = [" ".join(f"{places[k[0][0]][a][1]}-{places[k[0][0]][min(z, len(places[k[0][0]])) - 1][2]}" for a, z in v) for k, v in zip(by, spans)]
+                out["chars"] = [_spans([(places[k[0][0]][a][1], places[k[0][0]][z - 1][2]) for a, z in v]) for k, v in zip(by, spans)]
             yield out
 
-    return spread(docs.select(docs[doc].alias("doc"), docs[text].alias("text")).dropna(), "doc").mapInPandas(run, "doc_id bigint, item_id bigint, spans string" + ", chars string" * chars)
+    return docs.mapInPandas(run, _CASE + _CHARS * chars)
 
 
-#: Bound of the test items' text that is broadcast.
-ITEM_BYTES = 64 << 20
+def removals(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_ids, chars): per document the items it carries, in order, and the ranges of characters to remove, merged over all of them.
+
+    Of repeated documents, which share their text if they share their id, one row is made.
+    """
+
+    @F.pandas_udf("array<struct<start: bigint, stop: bigint>>")
+    def merged(spans: pd.Series) -> pd.Series:
+        return pd.Series([_spans(merge([(x["start"], x["stop"]) for x in v])) for v in spans], dtype=object)
+
+    # cases are few beside the documents, and a document has no more than there are items
+    by = leaks(docs, items, doc, item, text, True).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.flatten(F.collect_list("chars")).alias("all"))
+    return by.select("doc_id", "item_ids", merged("all").alias("chars"))

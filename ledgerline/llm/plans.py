@@ -14,8 +14,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_removal_spans(spark: SparkSession, d: str) -> DataFrame:
-    """With each case the spans to remove, in words and in characters."""
-    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"), chars=True)
+    """Per document that carries items these and the ranges of characters to remove."""
+    return leakage.removals(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
 def p6_item_report(spark: SparkSession, d: str) -> DataFrame:

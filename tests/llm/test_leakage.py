@@ -94,12 +94,12 @@ def test_disguises(spark):
         7: " ".join(q).translate({ord("a"): "а", ord("e"): "е", ord("o"): "ο"}), 8: "​".join(" ".join(q)), 9: "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in " ".join(q)),
         10: " ".join(q[:19]), 11: "", 12: None, 13: " ".join(FILL), 14: " ".join(FILL * 200) + " " + " ".join(q), 15: " ".join(q[:4] + ["aa"] + q[5:9] + ["bb"] + q[10:14] + ["cc"] + q[15:19] + ["dd"] + q[20:24] + ["ee"] + q[25:]),
     }
-    docs = spark.createDataFrame([(k, v, "x") for k, v in shown.items()], "doc_id bigint, text string, spans string").repartition(3)
+    docs = spark.createDataFrame([(k, v, "x") for k, v in shown.items()], "doc_id bigint, text string, words string").repartition(3)
     items = spark.createDataFrame([(5, " ".join(item), "t"), (6, "too short", "t"), (7, None, "t")], "item_id bigint, text string, task string")
     got = leakage.leaks(docs, items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 5) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 14)}
-    spans = {r["doc_id"]: r["spans"] for r in got}
-    assert spans[1] == "0-29" and spans[14] == f"{len(FILL) * 200}-{len(FILL) * 200 + 29}"
+    spans = {r["doc_id"]: [tuple(x) for x in r["words"]] for r in got}
+    assert spans[1] == [(0, 30)] and spans[14] == [(len(FILL) * 200, len(FILL) * 200 + 30)]
     assert leakage.leaks(docs.limit(0), items).collect() == [] and leakage.leaks(docs, items.limit(0)).collect() == []
 
 
@@ -137,7 +137,7 @@ def test_long_texts_in_pieces(spark, monkeypatch):
         for at, ws in leakage.pieces(leakage.words(t), 60):
             out |= {(d, at + a, at + z) for _, _, a, z in leakage.search_shard([(0, ws)], known)}
     got = {d: leakage.merge([(a, z) for e, a, z in out if e == d]) for d in {e for e, _, _ in out}}
-    assert {d: " ".join(f"{a}-{z - 1}" for a, z in v) for d, v in got.items()} == {r[0]: r[2] for r in whole} and len(whole) == 12
+    assert got == {r[0]: [tuple(x) for x in r[2]] for r in whole} and len(whole) == 12
 
 
 def test_many_different_words():
@@ -146,11 +146,11 @@ def test_many_different_words():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["ab", "Cd", " ", "-", "-\n", "\n", "​", "e", "́", "ﬁ", "а", "(12)", "1234", "12345", "—", "X — AB-1 — page 7", "\n\nX y — AB-1/2 — page 7\n\n", ".", "_", "Ｗ", "\xad", "²"]), max_size=30))
+@given(st.lists(st.sampled_from(["ab", "Cd", " ", "-", "-\n", "\n", "​", "e", "́", "ﬁ", "а", "(12)", "1234", "12345", "\n3. ", "¶ 4 ", "[5]", ". 6) ", "1999", "—", "X — AB-1 — page 7", "\n\nX y — AB-1/2 — page 7\n\n", ".", "_", "Ｗ", "\xad", "²"]), max_size=30))
 def test_traced_words_are_the_words(parts):
     t = "".join(parts)
     got = leakage.traced(t)
-    assert [w for w, _, _ in got] == [w for w in leakage.words(t) if not leakage._number(w)]
+    assert [w for w, _, _ in got] == leakage.words(t)
     assert all(a < z <= len(t) for _, a, z in got)
 
 
@@ -161,5 +161,33 @@ def test_cut_spans_leave_the_rest(spark):
     text = "Vorher wird é gesagt. " + quote + " Nachher nichts."
     df = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id bigint, text string")
     (r,) = leakage.leaks(df, spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string"), chars=True).collect()
-    a, z = map(int, r["chars"].split("-"))
+    ((a, z),) = r["chars"]
     assert text[a:z] == quote and text[:a] + text[z:] == "Vorher wird é gesagt.  Nachher nichts."
+
+
+def test_numbers_are_words_and_paragraphs_marks_are_not():
+    w = lambda t: b" ".join(leakage.words(t)).decode()
+    assert w("In 1999 he paid 20 marks.\n12. Then\n(3) more ¶ 4 and [55] ended. 6) So") == "in 1999 he paid 20 marks then more and ended so"
+    assert w("1999 was\n2001 is") == "1999 was 2001 is"
+    rng = random.Random(9)
+    ws = rng.sample(WORDS, 18)
+    item = ws[:6] + ["1998"] + ws[6:12] + ["2003"] + ws[12:]
+    known = leakage.Items([(1, " ".join(item))])
+    hit = lambda t: bool(leakage.search_shard([(7, leakage.words(t))], known))
+    assert len(item) == 20 and hit("said: " + " ".join(item) + " so")
+    assert hit("\n\n".join([" ".join(item[:5]), "12. " + " ".join(item[5:11]), "(13) " + " ".join(item[11:16]), "¶ 14 " + " ".join(item[16:])]))
+    assert not hit(" ".join(x for i, v in enumerate(item) for x in ([v, str(1990 + i)] if i % 2 else [v])))  # ten years put in are ten differences
+    assert not hit(" ".join(item[:6] + ["1997"] + item[7:13] + ["2004", "x"] + item[14:]))
+
+
+def test_items_in_groups_and_spans_merged_per_document(spark, monkeypatch):
+    rng = random.Random(11)
+    a = [rng.choice(WORDS) for _ in range(60)]
+    items = spark.createDataFrame([(1, " ".join(a[:40])), (2, " ".join(a[20:])), (3, " ".join(FILL[:50]))], "item_id bigint, text string")
+    lead = "Vorab: "
+    docs = spark.createDataFrame([(1, lead + " ".join(a) + " ende"), (2, " ".join(FILL[:30])), (3, "none")], "doc_id bigint, text string")
+    whole = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect())
+    monkeypatch.setattr(leakage, "ITEM_BYTES", 100)
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()) == whole == [(1, 1), (1, 2), (2, 3)]
+    got = {r["doc_id"]: (r["item_ids"], [tuple(x) for x in r["chars"]]) for r in leakage.removals(docs, items).collect()}
+    assert got == {1: ([1, 2], [(len(lead), len(lead) + len(" ".join(a)))]), 2: ([3], [(0, len(" ".join(FILL[:30])))])}

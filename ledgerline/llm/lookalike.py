@@ -1,11 +1,12 @@
 """One consistent form for text that looks the same.
 
-A rule per character, applied to canonically decomposed text that is composed
+Two forms are made of each text. The visible form is a rule per character, applied to canonically decomposed text that is composed
 again afterwards: what can't be seen goes; every blank becomes a space and every
 hyphen '-'; widths, ligatures and no-break forms take their compatibility
 decomposition; letters of other scripts that look like Latin ones become these.
 Letter case, accents, raised and lowered digits, other marks and the number of blanks and
-lines stay, for they can be seen.
+lines stay in it, for they can be seen. The folded form is compatibility composition with full case
+folding of that: texts that look the same agree in it, so it finds the candidates, whose visible forms part them.
 """
 
 from __future__ import annotations
@@ -19,20 +20,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import spread
+from ..shared import materialize, per_key, spread
 
 # Letters of other scripts with the look of a Latin letter, and that letter.
 GREEK_CAPITALS, GREEK_CAPITALS_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"
-GREEK_SMALL, GREEK_SMALL_AS = "οϲϳ", "ocj"
-CYRILLIC_CAPITALS, CYRILLIC_CAPITALS_AS = "АВЕЅІЈКМНОРСТХҮԌԚԜ", "ABESIJKMHOPCTXYGQW"
-CYRILLIC_SMALL, CYRILLIC_SMALL_AS = "аеѕіјорсухһԁԛԝӏ", "aesijopcyxhdqwl"
-ARMENIAN_SMALL, ARMENIAN_SMALL_AS = "օոս", "onu"
+GREEK_SMALL, GREEK_SMALL_AS = "ονϲϳ", "ovcj"
+CYRILLIC_CAPITALS, CYRILLIC_CAPITALS_AS = "АВЕЅІЈКМНОРСТХҮԌԚԜӀѴӔӘ", "ABESIJKMHOPCTXYGQWIVÆƏ"
+CYRILLIC_SMALL, CYRILLIC_SMALL_AS = "аеѕіјорсухһԁԛԝӏѵӕә", "aesijopcyxhdqwlvæə"
+ARMENIAN, ARMENIAN_AS = "ՕՍԼՏօոսհզցյ", "OULSonuhqgj"
+CHEROKEE, CHEROKEE_AS = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRWSVSLCPKB"
+CHEROKEE_SMALL, CHEROKEE_SMALL_AS = "ꮓꮩꮪꮯꮃ", "zvscw"
+COPTIC, COPTIC_AS = "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"
+LISU, LISU_AS = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"
+LATIN_VARIANTS, LATIN_VARIANTS_AS = "ɡɑ", "ga"
+# Marks with the look of another mark, and that mark.
+MARKS, MARKS_AS = "∶∕⁄ʼ", "://’"
 # Signs drawn as a hyphen (dashes and the minus sign are longer, so they stay).
 HYPHENS = "-‐‑­﹣－"
 # Ranges of default-ignorable code points (Unicode DerivedCoreProperties).
 IGNORABLE = [(0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 
-_LOOKS = {ord(a): b for x, y in ((GREEK_CAPITALS, GREEK_CAPITALS_AS), (GREEK_SMALL, GREEK_SMALL_AS), (CYRILLIC_CAPITALS, CYRILLIC_CAPITALS_AS), (CYRILLIC_SMALL, CYRILLIC_SMALL_AS), (ARMENIAN_SMALL, ARMENIAN_SMALL_AS)) for a, b in zip(x, y)}
+_LOOKS = {ord(a): b for x, y in (
+    (GREEK_CAPITALS, GREEK_CAPITALS_AS), (GREEK_SMALL, GREEK_SMALL_AS), (CYRILLIC_CAPITALS, CYRILLIC_CAPITALS_AS), (CYRILLIC_SMALL, CYRILLIC_SMALL_AS), (ARMENIAN, ARMENIAN_AS),
+    (CHEROKEE, CHEROKEE_AS), (CHEROKEE_SMALL, CHEROKEE_SMALL_AS), (COPTIC, COPTIC_AS), (LISU, LISU_AS), (LATIN_VARIANTS, LATIN_VARIANTS_AS), (MARKS, MARKS_AS),
+) for a, b in zip(x, y, strict=True)}
+#: Compatibility forms of the same signs at another place in a word, in another width or kept from breaking.
+_SAME_SIGNS = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 
 
 def _char(c: str) -> str:
@@ -52,9 +65,13 @@ def _char(c: str) -> str:
     if kind == "Cc" and c != "\n":
         return ""
     how = unicodedata.decomposition(c)
-    if how.startswith(("<wide>", "<narrow>", "<noBreak>")) or c == "…":
-        return "".join(map(_char, unicodedata.normalize("NFKD", c)))
-    if how.startswith("<compat>") and kind[0] == "L" and len(how.split()) > 2:  # letters joined into one sign
+    built = how.startswith(_SAME_SIGNS) or c in "․‥…"
+    if how.startswith("<compat>"):
+        # letters joined into one sign, numerals built of letters, and radicals drawn as the ideograph
+        built = built or kind[0] == "L" and len(how.split()) > 2 or kind == "Nl" or kind == "So" and len(how.split()) == 2
+    if how.startswith("<square>"):  # units built of Latin letters
+        built = built or unicodedata.normalize("NFKD", c).isascii() and unicodedata.normalize("NFKD", c).isalpha()
+    if built:
         return "".join(map(_char, unicodedata.normalize("NFKD", c)))
     return c
 
@@ -81,6 +98,13 @@ def same_look(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+def folded(form: str) -> str:
+    """The named form, of a visible one: compatibility composition and full case folding; equal wherever visible forms are."""
+    if form.isascii():
+        return form.lower()
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", form).casefold())
+
+
 def _per_distinct(values: pd.Series, f) -> list:
     """f once per distinct value of a batch; null gives null."""
     known: dict = {None: None}
@@ -97,48 +121,64 @@ def normal_form(texts: pd.Series) -> pd.Series:
     return pd.Series(_per_distinct(texts, same_look), dtype=object)
 
 
-@F.pandas_udf(T.BinaryType())
-def look_digest(texts: pd.Series) -> pd.Series:
-    """128-bit digest of the form, so that only digests move on."""
-    return pd.Series(_per_distinct(texts, lambda t: hashlib.blake2b(same_look(t).encode("utf-8", "surrogatepass"), digest_size=16).digest()), dtype=object)
+def _digest(t: str) -> bytes:
+    return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+@F.pandas_udf(T.StructType([T.StructField("fold", T.BinaryType()), T.StructField("look", T.BinaryType())]))
+def look_digests(texts: pd.Series) -> pd.DataFrame:
+    """128-bit digests of the folded and the visible form, so that only digests move on."""
+
+    def both(t: str) -> tuple[bytes, bytes]:
+        form = same_look(t)
+        return _digest(folded(form)), _digest(form)
+
+    found = _per_distinct(texts, both)
+    return pd.DataFrame({"fold": [x[0] for x in found], "look": [x[1] for x in found]})
 
 
 def digests(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, look, same): digests of each non-null text's form and of the text itself."""
-    rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc")
-    return rows.select("doc", look_digest("text").alias("look"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
+    """(doc, fold, look, same): digests of each non-null text's folded and visible form and of the text itself. A null id is no document."""
+    rows = spread(docs.filter(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc")
+    return rows.select("doc", look_digests("text").alias("x"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same")).select("doc", "x.fold", "x.look", "same")
+
+
+def _texts(made: DataFrame) -> DataFrame:
+    """(fold, look, same, n, first): the distinct texts of which another text looks the same, with the class's number of texts and smallest document.
+
+    Candidates are the folded forms of several texts; visible forms part them. Documents are first reduced to
+    texts, with map-side combine, so copies of one text, however many, cost one row; a class of very many texts is met in salted parts.
+    """
+    one = made.groupBy("fold", "look", "same").agg(F.min("doc").alias("doc"))
+    candidates = one.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fold")
+    one = one.join(candidates, "fold", "left_semi")
+    alike = one.groupBy("fold", "look").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1")
+    return per_key(one.drop("doc"), alike, ["fold", "look"])
 
 
 def classes(made: DataFrame) -> DataFrame:
-    """One row per document whose class of the same look has several different texts: (doc, look, same, texts).
+    """One row per document whose class of the same look has several different texts: (doc, class, texts).
 
-    ``texts`` counts the different texts. Documents are first reduced to distinct
-    texts, with map-side combine, so copies of one text, however many, cost one row.
+    ``class`` is the smallest document of the class; ``texts`` counts the different texts. The documents of one text, however many, are met in salted parts.
     """
-    several = made.groupBy("look", "same").agg(F.lit(1).alias("x")).groupBy("look").agg(F.count("x").alias("texts")).filter("texts > 1")
-    return made.join(several, "look").select("doc", "look", "same", "texts")
+    return per_key(made, _texts(made).drop("fold"), ["look", "same"]).select("doc", F.col("first").alias("class"), F.col("n").alias("texts"))
 
 
 def lookalike_pairs(made: DataFrame) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b, of the documents that look the same but differ.
+    """(doc_a, doc_b), doc_a < doc_b, of the documents that look the same but differ; each once where documents' ids are unique.
 
-    Different texts of a class meet once each; their documents join on afterwards, so
+    Different texts of a class meet once each; their documents join on afterwards, salted on both sides, so
     the work is that of the result: identical texts never meet each other.
     """
-    texts = made.groupBy("look", "same").agg(F.count(F.lit(1)).alias("copies"))
-    several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
-    texts = texts.join(several, "look").select("look", "same")
+    texts = materialize(_texts(made).select("look", "same"), "alike")
+    held = per_key(made.select("look", "same", "doc"), texts, ["look", "same"])
     met = texts.select("look", F.col("same").alias("a")).join(texts.select("look", F.col("same").alias("b")), "look").filter(F.col("a") < F.col("b"))
-    left = made.select("look", F.col("same").alias("a"), F.col("doc").alias("x"))
-    right = made.select("look", F.col("same").alias("b"), F.col("doc").alias("y"))
-    pairs = met.join(left, ["look", "a"]).join(right, ["look", "b"]).filter(F.col("x") != F.col("y"))
-    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    left = per_key(held.select("look", F.col("same").alias("a"), F.col("doc").alias("x")), met, ["look", "a"])
+    pairs = per_key(left, held.select("look", F.col("same").alias("b"), F.col("doc").alias("y")), ["look", "b"]).filter(F.col("x") != F.col("y"))
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def change_report(docs: DataFrame, text: str = "text", by: str = "lang") -> DataFrame:
     """Per group how many texts the form changes."""
     changed = F.coalesce(normal_form(text) != F.col(text), F.lit(False))
     return docs.groupBy(F.col(by).alias(by)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(changed.cast("bigint")).alias("n_changed"))
-
-
-

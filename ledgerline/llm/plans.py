@@ -34,6 +34,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(read(spark, d, "documents"), read(spark, d, "mix_targets")).report()
 
 
+def p7_report_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The report where each mix is asked to have as many tokens as all documents: sources that can't give their share are told."""
+    docs, mixes = read(spark, d, "documents"), read(spark, d, "mix_targets")
+    return mixing.Mixture(docs, mixes, total=mixing.ALL).report()
+
+
 def _digests(spark: SparkSession, d: str) -> DataFrame:
     return materialize(lookalike.digests(read(spark, d, "documents")), "looks")
 
@@ -51,7 +57,7 @@ def p8_change_report(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.change_report(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_removal_spans, p6_item_report, p7_selection, p7_report, p8_found, p8_classes, p8_change_report)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_removal_spans, p6_item_report, p7_selection, p7_report, p7_report_of_all, p8_found, p8_classes, p8_change_report)}
 
 
 def _table() -> dict[str, str]:

@@ -114,3 +114,37 @@ def test_settled_rates_meet_the_target_or_the_cap():
     r, t = np.array([0.0, 0.2, 1.0]), np.array([10.0, 20.0, 30.0])
     assert abs((mixing.settled(r, t, 2.0, 50.0) * t).sum() - 50) < 1e-6
     assert mixing.settled(r, t, 1.0, 100.0).tolist() == [1.0] * 3 and mixing.settled(r, t, 1.0, 0).tolist() == [0.0] * 3
+
+
+def test_many_sources_keep_cells_few():
+    assert mixing.parts_for(8) == 8 and mixing.parts_for(2) == 8 and mixing.parts_for(5000) == 1
+    for k in (30, 100, 1000):
+        n = mixing.parts_for(k)
+        assert n == 1 or mixing.math.comb(n + k - 1, k - 1) <= mixing.CELLS
+    q = mixing.rounded(np.full((50, 30), 1 / 30), np.linspace(0, 0.99, 50), 3)
+    assert (q.sum(axis=1) == 3).all()
+
+
+def test_projected_gradient_meets_reachable_targets():
+    rng = np.random.default_rng(3)
+    q = rng.dirichlet([0.3] * 3, 40)
+    t = rng.uniform(10, 50, 40)
+    want = (0.4 * t) @ q
+    r = mixing.fitted(q, np.full(40, 2.0), t, want, 500)
+    assert np.abs((r * t) @ q / want - 1).max() < 0.05 and (r >= 0).all() and (r <= 2).all()
+
+
+def test_a_given_total_tells_what_cannot_be_reached(spark):
+    docs = [*texts({"aa": 200, "bb": 20})]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    goal = spark.createDataFrame([("m", "aa", 0.5, 1), ("m", "bb", 0.5, 2)], "mix string, source string, target_share double, max_repeats int")
+    r = {x["source"]: x for x in mixing.Mixture(df, goal, total=mixing.ALL).report().collect()}
+    assert r["aa"]["reachable"] and not r["bb"]["reachable"]
+    assert r["bb"]["used_tokens"] == 2 * r["bb"]["available_tokens"] and abs(r["aa"]["used_tokens"] / r["aa"]["wanted_tokens"] - 1) < 0.02
+
+
+def test_one_text_of_many_documents_and_a_repeated_row(spark):
+    docs = [(5, "a b c", "aa"), (3, "a b c", "bb"), (3, "a b c", "bb"), (9, "d e", "aa")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    m = mixing.fit(df, "doc_id", "text", "source")
+    assert sorted((r["doc"], r["source"]) for r in mixing.measured(df, m, "doc_id", "text", "source").collect()) == [(3, "bb"), (9, "aa")]

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
 from .resolve import alive, newest
 from .scan import prefix_scan
 
@@ -35,46 +36,84 @@ def conflict_candidates(txns: DataFrame, span: int) -> DataFrame:
     return a.join(b, (F.col("key") == F.col("k")) & (F.col("c") == F.col("d")) & (F.col("t") > F.col("read_ts")) & (F.col("t") < F.col("commit_ts"))).select("txn", "other", "key")
 
 
-def outcomes(txns: DataFrame, by: str = "key") -> DataFrame:
-    """(txn, committed): first-committer-wins validation in commit order.
+#: Timestamps per chunk of the commit order, at least; a chunk is as wide as the longest transaction.
+WIDTH = 1 << 15
+_RESULT = "c bigint, txn bigint, first boolean, key string, commit_ts bigint, written boolean, committed boolean"
 
-    A transaction aborts iff some key it touches was committed after its read_ts; one that
-    only read never aborts. txns (component, txn, key, read_ts, commit_ts, writes): rows of one
-    transaction per touched key; ``by`` is a column that parts independent ones
-    (keys, or components of keys). Rows stream in order through a task, which holds one
-    number per key, never a group's rows.
+
+def outcomes(txns: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(txn, committed): first-committer-wins validation in commit order, for transactions of any number of keys.
+
+    A transaction aborts iff some key it touches, read or written, was written by a transaction committed after its read_ts; one that
+    only read never aborts. txns (txn, key, read_ts, commit_ts, writes): a row per transaction and touched key.
+
+    What a transaction sees goes back no further than its read_ts, so commit order is cut into chunks no narrower than the longest transaction, and a chunk needs
+    of the one before only its last commits per key. All chunks are first validated side by side as if nothing came before;
+    then those whose last commits before them turn out otherwise than assumed are validated again, until none is left. Whatever key is hot, no task
+    has more than a chunk's rows; chains of conflicts die out soon, so few chunks are run again.
     """
-    schema = "txn bigint, committed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, txn, rows = None, {}, None, []
+        at, last, txn, rows, out = None, {}, None, [], []
 
-        def close() -> list[tuple[int, bool]]:
+        def close() -> None:
             if txn is None:
-                return []
-            read_only = not any(w for _, _, _, w in rows)
-            ok = read_only or all(k not in last or last[k] <= r for k, r, _, _ in rows)
-            if ok and not read_only:
-                for k, _, c, _ in rows:
-                    last[k] = c
-            return [(txn, ok)]
+                return
+            ok = not any(w for _, _, _, w in rows) or all(k not in last or last[k] <= r for k, r, _, _ in rows)
+            for i, (k, _, t, w) in enumerate(rows):
+                if ok and w:
+                    last[k] = t
+                out.append((at, txn, i == 0, k, t, bool(w), ok))
+            rows.clear()
 
         for b in batches:
-            out = []
-            for p, t, k, r, c, w in zip(b["part"], b["txn"], b["key"], b["read_ts"], b["commit_ts"], b["writes"]):
-                if t != txn or p != part:
-                    out += close()
-                    if p != part:
-                        last = {}
-                    part, txn, rows = p, t, []
-                rows.append((k, r, c, w))
+            for c, kind, x, k, r, t, w in zip(*(b[n].tolist() for n in ("c", "kind", "txn", "key", "read_ts", "commit_ts", "writes"))):
+                if c != at or kind == 1 and x != txn:
+                    close()
+                    if c != at:
+                        at, last = c, {}
+                    txn = x if kind == 1 else None
+                if kind == 0:
+                    last[k] = t
+                else:
+                    rows.append((k, r, t, w))
             if out:
-                yield pd.DataFrame(out, columns=["txn", "committed"])
-        if out := close():
-            yield pd.DataFrame(out, columns=["txn", "committed"])
-
-    ready = txns.dropna(subset=["txn", "read_ts", "commit_ts"]).select(F.col(by).alias("part"), "txn", "key", "read_ts", "commit_ts", "writes")
-    return ready.repartition("part").sortWithinPartitions("part", "commit_ts", "txn").mapInPandas(run, schema)
+                yield pd.DataFrame(out, columns=["c", "txn", "first", "key", "commit_ts", "written", "committed"])
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["c", "txn", "first", "key", "commit_ts", "written", "committed"])
+
+    ready = txns.dropna(subset=["txn", "read_ts", "commit_ts"]).select(F.lit(1).alias("kind"), "txn", F.col("key").cast("string").alias("key"), "read_ts", "commit_ts", F.coalesce("writes", F.lit(False)).alias("writes"))
+    span = ready.agg(F.max(F.col("commit_ts") - F.col("read_ts"))).first()[0] or 0
+    width = max(width, span, 1)
+    ready = ready.withColumn("c", F.floor(F.col("commit_ts") / F.lit(width)))
+
+    def validated(part: DataFrame, before: DataFrame | None) -> DataFrame:
+        if before is not None:
+            part = part.unionByName(before.select("c", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("txn"), "key", F.lit(None).cast("bigint").alias("read_ts"), "commit_ts", F.lit(False).alias("writes")))
+        return part.repartition("c").sortWithinPartitions("c", "kind", "commit_ts", "txn").mapInPandas(run, _RESULT)
+
+    def tail(done: DataFrame) -> DataFrame:
+        ends = (F.col("c") + 1) * width
+        return done.filter(F.col("written") & F.col("committed") & (F.col("commit_ts") > ends - span)).groupBy((F.col("c") + 1).alias("c"), "key").agg(F.max("commit_ts").alias("commit_ts"))
+
+    def digest(before: DataFrame, name: str) -> DataFrame:
+        return before.groupBy("c").agg(F.struct(F.bit_xor(F.xxhash64("key", "commit_ts")), F.count(F.lit(1))).alias(name))
+
+    done, used = materialize(validated(ready, None), "txns"), None
+    while True:
+        before = materialize(tail(done).join(done.select("c").distinct(), "c", "left_semi"), "tails")
+        now = digest(before, "now")
+        if used is None:
+            todo = now.select("c")
+        else:
+            todo = now.join(digest(used, "then"), "c", "full_outer").filter(~F.col("now").eqNullSafe(F.col("then"))).select("c")
+        todo = materialize(todo, "todo")
+        if todo.isEmpty():
+            return done.filter("first").select("txn", "committed")
+        again = validated(ready.join(todo, "c", "left_semi"), before.join(todo, "c", "left_semi"))
+        done, used = materialize(done.join(todo, "c", "left_anti").unionByName(again), "txns"), before
 
 
 def applied_watermark(versions: DataFrame, version: str = "version") -> DataFrame:

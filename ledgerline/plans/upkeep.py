@@ -50,6 +50,14 @@ def multi_exec_outcome(s: SparkSession, d: str) -> DataFrame:
     return X.outcomes(_txns(s, d))
 
 
+def ssi_multi(s: SparkSession, d: str) -> DataFrame:
+    """Each event reads two keys, its user's and one of 211 groups'; all but views write the first, purchases the second too."""
+    e = L.events(s, d).select(F.col("version").alias("txn"), (F.col("version") - SPAN).alias("read_ts"), F.col("version").alias("commit_ts"), "et", F.explode(F.array(
+        F.struct(F.concat(F.lit("u:"), "u").alias("key"), (F.col("et") != "view").alias("writes")),
+        F.struct(F.concat(F.lit("g:"), (F.col("event_id") * 31 % 211).cast("string")).alias("key"), (F.col("et") == "purchase").alias("writes")))).alias("x"))
+    return X.outcomes(e.select("txn", "x.key", "read_ts", "commit_ts", "x.writes"))
+
+
 def ssi_history_trim(s: SparkSession, d: str) -> DataFrame:
     """Committed keys still in the history when the oldest reader is at HORIZON."""
     return _txns(s, d).filter(F.col("writes") & (F.col("commit_ts") >= HORIZON)).groupBy("key").agg(F.max("commit_ts").alias("last_commit"), F.count(F.lit(1)).alias("n"))
@@ -239,7 +247,7 @@ def successful_runs(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        view_snapshot_sum, read_your_writes, ssi_candidates, ssi_outcome, multi_exec_outcome, ssi_history_trim, commit_at, applied_watermark, min_read_ts, batch_atomicity,
+        view_snapshot_sum, read_your_writes, ssi_candidates, ssi_outcome, multi_exec_outcome, ssi_multi, ssi_history_trim, commit_at, applied_watermark, min_read_ts, batch_atomicity,
         compact_retention, compact_bottom_drop, tombstone_ratio, level_scores, overlapping_tables, ingest_self_overlap, ingest_target_level, adaptive_threshold, value_separation,
         vlog_discard_stats, vlog_gc_candidate, wal_valid_prefix, recover_state, manifest_live, checkpoint_prune, pitr_state, pitr_stats, encrypt_roundtrip, op_stats,
         pubsub_delivered, subscription_count, psync_since, psync_decision, snapshot_plus_tail, replica_apply, successful_runs,
@@ -271,6 +279,11 @@ select key, 'mine' as value, true as own from own where not gone union all selec
     "ssi_candidates": f"{_E} select a.version as txn, b.version as other, concat('u:', a.u) as key from e a join e b on a.u = b.u and b.version > a.version - {SPAN} and b.version < a.version",
     "ssi_outcome": _outcome(""),
     "multi_exec_outcome": _outcome("where et <> 'view'") + " union all select version as txn, true as committed from e where et = 'view'",
+    "ssi_multi": f"""{_E}, o as (select version as ver, concat('u:', u) as k1, et <> 'view' as w1, concat('g:', cast(event_id * 31 % 211 as varchar)) as k2, et = 'purchase' as w2 from e),
+f as (select cast(0 as bigint) as ver, [{{'k': '', 't': cast(-1000000 as bigint)}}] as h, true as ok union all
+ select o.ver, case when x.ok then list_concat(list_filter(f.h, lambda y: y.t > o.ver - {SPAN}), case when o.w1 then [{{'k': o.k1, 't': o.ver}}] else [] end, case when o.w2 then [{{'k': o.k2, 't': o.ver}}] else [] end) else f.h end, x.ok
+ from f join o on o.ver = f.ver + 1, lateral (select not o.w1 and not o.w2 or len(list_filter(f.h, lambda y: y.t > o.ver - {SPAN} and (y.k = o.k1 or y.k = o.k2))) = 0 as ok) x)
+select ver as txn, ok as committed from f where ver > 0""",
     "ssi_history_trim": f"{_E} select concat('u:', u) as key, max(version) as last_commit, cast(count(*) as bigint) as n from e where et <> 'view' and version >= {HORIZON} group by u",
     "commit_at": f"{_S}, moved as (select * replace (version + case when version % 10 = 0 then 100000 else 0 end as version) from strings) select key, value, version from {L.newest_sql('moved')} z where {L.LIVE}",
     "applied_watermark": f"{_E} select cast(coalesce(max(version), 0) as bigint) as watermark from (select version, row_number() over (order by version) rn from e where version % 7919 <> 0) x where rn = version",

@@ -99,9 +99,9 @@ def test_bitmaps(spark):
 def test_transactions(spark):
     t = [(1, "a", 0, 5, True), (2, "a", 4, 7, True), (3, "b", 4, 8, True), (4, "a", 6, 9, False), (4, "b", 6, 9, False), (5, "a", 8, 10, True), (5, "b", 8, 10, True)]
     df = spark.createDataFrame([("all", *r) for r in t], "part string, txn bigint, key string, read_ts bigint, commit_ts bigint, writes boolean")
-    assert {r["txn"]: r["committed"] for r in txn.outcomes(df, "part").collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
+    assert {r["txn"]: r["committed"] for r in txn.outcomes(df).collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
     skew = spark.createDataFrame([("all", 1, k, 0, 1, True) for k in "ab"] + [("all", 2, k, 0, 2, True) for k in "ab"], df.schema)
-    assert sorted(r["committed"] for r in txn.outcomes(skew, "part").collect()) == [False, True]  # write skew: one aborts
+    assert sorted(r["committed"] for r in txn.outcomes(skew).collect()) == [False, True]  # write skew: one aborts
     for gaps, want in (([], 200000), ([131072], 131071), ([1], 0), ([70000, 150000], 69999), ([65536], 65535), ([65537], 65536)):
         v = spark.range(1, 200001).select(F.col("id").alias("version")).filter(~F.col("version").isin(gaps) if gaps else F.lit(True))
         assert txn.applied_watermark(v).first()[0] == want
@@ -110,6 +110,24 @@ def test_transactions(spark):
     assert {r["key"]: r["value"] for r in own.collect()} == {"a": "9", "c": "3"}
 
 
+@pytest.mark.parametrize("width", [1, 64, 1 << 15])
+def test_transactions_of_many_keys_in_chunks(spark, width):
+    rng = random.Random(width)
+    last, rows, want = {}, [], {}
+    for v in range(1, 400):
+        read = v - rng.randrange(1, 12)
+        keys = {rng.choice(["hot", "a", "b", "c", None, *map(str, range(20))]): rng.random() < 0.4 for _ in range(rng.randrange(1, 4))}
+        ok = not any(keys.values()) or all(last.get(k, -99) <= read for k in keys)
+        want[v] = ok
+        if ok:
+            last |= {k: v for k, w in keys.items() if w}
+        rows += [(v, k, read, v, w, "x") for k, w in keys.items()] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "txn bigint, key string, read_ts bigint, commit_ts bigint, writes boolean, c string")
+    got = txn.outcomes(df, width).collect()
+    assert len(got) == len(want) and {r["txn"]: r["committed"] for r in got} == want and len(set(want.values())) == 2
+    assert txn.outcomes(df.limit(0)).collect() == []
+
+
 def test_maintenance(spark):
     x = log(spark, [("s", "a", "", str(v), None, False, 0, v) for v in (1, 2, 3, 4)] + [("s", "b", "", None, None, True, 0, 2)])
     kept = maintenance.retained(x, ["dtype", "key", "sub"], 2)
@@ -131,7 +149,7 @@ def test_nulls_in_counters_bits_and_transactions(spark):
     assert {r["key"]: r["n"] for r in bitmaps.bitcount(bitmaps.state(b)).collect()} == {"k": 1, None: 1}
     assert {r["key"]: r["n"] for r in bitmaps.bitcount(bitmaps.state(b), 0, 9).collect()} == {"k": 1, None: 1}
     t = spark.createDataFrame([("p", 1, None, 0, 5, True), ("p", 2, None, 3, 7, True), ("p", 3, "a", None, 8, True), (None, 4, "a", 1, 9, True)], "part string, txn bigint, key string, read_ts bigint, commit_ts bigint, writes boolean")
-    assert {r["txn"]: r["committed"] for r in txn.outcomes(t, "part").collect()} == {1: True, 2: False, 4: True}
+    assert {r["txn"]: r["committed"] for r in txn.outcomes(t).collect()} == {1: True, 2: False, 4: True}
     assert txn.conflict_candidates(t, 100).collect() == []
 
 

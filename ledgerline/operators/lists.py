@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize, per_key
+from ..shared import join_on, materialize, per_key
 from .scan import one_range, prefix_scan, previous
 
 
@@ -31,6 +31,28 @@ def placed(ops: DataFrame, width: int = 1 << 18) -> DataFrame:
     return at.select("key", "version", "op", "elem", "push", "hit", place.alias("place"))
 
 
+def standing(ops: DataFrame, now: int, as_of: int | None = None) -> DataFrame:
+    """The operations that still count: those up to ``as_of``, and per key after its last DEL, and after its last EXPIRE if the time in its elem has come.
+
+    An EXPIRE holds for the elements that are there; later pushes have no expiry. A null key is a key.
+    """
+    if as_of is not None:
+        ops = ops.filter(F.col("version") <= as_of)
+    at = F.struct("version", F.col("elem").cast("bigint").alias("at"))
+    ends = ops.filter(F.col("op").isin("DEL", "EXPIRE")).groupBy("key").agg(F.max(F.when(F.col("op") == "DEL", F.col("version"))).alias("del"), F.max(F.when(F.col("op") == "EXPIRE", at)).alias("e"))
+    over = ends.select("key", F.greatest("del", F.when(F.col("e.at") <= now, F.col("e.version"))).alias("over"))
+    return per_key(ops, over, ["key"], "left").filter(F.coalesce(F.col("version") > F.col("over"), F.lit(True))).drop("over")
+
+
+def ttl(ops: DataFrame, now: int) -> DataFrame:
+    """(key, ttl) of the lists that hold something, by their first element: -1 without expiry, else seconds left."""
+    live = standing(ops, now)
+    head = contents(live).filter("pos = 0").select("key", "version")
+    last = live.filter("op = 'EXPIRE'").groupBy("key").agg(F.max(F.struct("version", F.col("elem").cast("bigint").alias("at"))).alias("e"))
+    left = F.when(F.col("e.version") > F.col("version"), F.col("e.at") - now).otherwise(F.lit(-1))
+    return join_on(head, last, ["key"], "left").select("key", left.cast("bigint").alias("ttl"))
+
+
 def pops(ops: DataFrame) -> DataFrame:
     """(key, version, op, result) of each pop; of an empty list null."""
     at = materialize(placed(ops), "placed")

@@ -98,6 +98,11 @@ def expire_collection(s: SparkSession, d: str) -> DataFrame:
     return S.expire(log, _asked(s, d, log), NOW).select("key", "sub", "value", "expires_at", "found")
 
 
+def expire_list(s: SparkSession, d: str) -> DataFrame:
+    log = L.list_log(s, d)
+    return S.expire(log, _asked(s, d, log), NOW).select("key", "sub", "value", "expires_at", "found")
+
+
 def expire_due(s: SparkSession, d: str) -> DataFrame:
     """Tombstones of a sweep five days past NOW."""
     return R.newest(L.strings(s, d)).filter((~F.col("deleted")) & F.col("expires_at").between(1, NOW + 432000)).select("key", "expires_at", "version")
@@ -278,7 +283,7 @@ def bitmap_delete(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        set_lww, set_with_ttl, setex, getdel, del_count, del_effect, mset_atomic, incr_running, incr_final, incr_invalid, expire_string, expire_collection, expire_due, delete_existed, skipwal_recovery,
+        set_lww, set_with_ttl, setex, getdel, del_count, del_effect, mset_atomic, incr_running, incr_final, incr_invalid, expire_string, expire_collection, expire_list, expire_due, delete_existed, skipwal_recovery,
         hset_created, hget, hdel, hgetall, hlen, hkeys, lpush_order, rpush_order, push_len, deque_replay, pop_results, llen, lrange_pos, lrange_neg, lrange_clamp,
         sadd_added, srem_effect, smembers, sismember, scard, sinter_2, sinter_n, zadd_added, zadd_update, zscore, zrangebyscore, zrange_inf, zrem_effect,
         setbit_old, getbit, bitcount, bitcount_pages, bitcount_byte_range, bitcount_bit_range, bitcount_neg, bitmap_delete,
@@ -330,6 +335,7 @@ SQL = {
     "incr_invalid": f"""{L.with_()} select version, event_id % 6 in (0, 4, 5) as ok, cast(case event_id % 6 when 0 then 1 when 4 then event_id + 1 when 5 then 1 - event_id end as bigint) as n from e""",
     "expire_string": _expire("strings", "r.key, z.value", _S),
     "expire_collection": _expire("hashes", "r.key, z.sub, z.value", _H),
+    "expire_list": _expire("list_log", "r.key, z.sub, z.value", L.with_(L.DEQUES, L.FOLD, L.LIST_LOG)),
     "expire_due": f"{_S} select key, expires_at, version from {_new('strings')} where not deleted and expires_at between 1 and {_NOW} + 432000",
     "delete_existed": f"{_S} select key, version, was as existed from {_was('strings')} where deleted",
     "skipwal_recovery": f"{_S} select key, value, version from {_new('strings', f'(version % 7 <> 0 or version <= {FLUSHED})')} where {L.LIVE}",

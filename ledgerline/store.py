@@ -1,45 +1,127 @@
 """Store: commands by name over one operation log; each returns a DataFrame.
 
-Writes give back the log rows they append, so a caller decides where these go; ``apply`` keeps them
-in the session's log. Every write gets the next version, a batch of writes one version.
+Every write gets the next version, a batch of writes one version. Written rows gather on the driver and join the
+log as one frame; after FLUSH rows the log is written to the shared folder, so plans stay small however many commands ran.
 """
 
 from __future__ import annotations
 
+import inspect
+from collections import deque
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bitmaps, collections, resolve
+from .operators import bitmaps, collections, lists, resolve
 from .operators.lists import contents, lrange
 from .operators.strings import counter_value
-from .schema import LOG
+from .schema import LOG, RAW
+from .shared import materialize
+
+#: Rows gathered, or frames joined to the log, before it is written.
+FLUSH, FRAMES = 1000, 16
+#: Messages that wait for a subscriber; more are dropped.
+BUFFER = 128
+READS = {"get", "mget", "hget", "hgetall", "hlen", "hkeys", "llen", "lrange", "smembers", "sismember", "scard", "sinter", "zscore", "zrangebyscore", "getbit", "bitcount", "keys", "scan", "ttl", "exists", "info"}
+#: Commands that touch keys other than their first argument, and which arguments these are.
+_ALL_KEYS = {"mset": slice(None, None, 2), "del": slice(None), "mget": slice(None), "sinter": slice(None), "keys": slice(0), "scan": slice(0), "info": slice(0), "publish": slice(0)}
+
+
+class Conflict(Exception):
+    """A key that the transaction read or wrote was written by another one since it began."""
+
+
+class _Rows:
+    """A frame and the rows not yet in it."""
+
+    def __init__(self, spark: SparkSession, frame: DataFrame, schema: object) -> None:
+        self.spark, self.frame, self.schema, self.rows, self.frames = spark, frame, schema, [], 0
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+        if len(self.rows) >= FLUSH:
+            self.frame, self.rows, self.frames = materialize(self.all(), "log"), [], 0
+
+    def join(self, frame: DataFrame) -> None:
+        self.frame, self.rows, self.frames = self.all().unionByName(frame), [], self.frames + 1
+        if self.frames >= FRAMES:
+            self.frame, self.frames = materialize(self.frame, "log"), 0
+
+    def all(self) -> DataFrame:
+        return self.frame.unionByName(self.spark.createDataFrame(self.rows, self.schema)) if self.rows else self.frame
+
+    def copy(self) -> _Rows:
+        out = _Rows(self.spark, self.frame, self.schema)
+        out.rows, out.frames = list(self.rows), self.frames
+        return out
+
+
+class Tx:
+    """Buffered writes over a snapshot: reads see own writes first, and every key read, found or not, is remembered."""
+
+    def __init__(self, store: Store) -> None:
+        self.store, self.read_version, self.reads, self.writes = store, store.version, set(), {}
+
+    def get(self, key: str) -> str | None:
+        if key in self.writes:
+            return self.writes[key][0]
+        self.reads.add(key)
+        row = self.store.state("s", key, self.read_version).select("value").first()
+        return row[0] if row else None
+
+    def set(self, key: str, value: str, seconds: int = 0) -> None:
+        self.writes[key] = (value, self.store.now + seconds if seconds > 0 else 0)
+
+    def delete(self, key: str) -> None:
+        self.writes[key] = (None, 0)
 
 
 class Store:
-    """Over a log DataFrame and, for lists, a table of list operations (key, version, op, elem)."""
+    """Over a log DataFrame and, for lists, a table of list operations (key, version, op, elem).
+
+    ``max_bytes``, if over 0, refuses puts once the keys and values written by this store come to more; deletes are always let through.
+    """
 
     LIST_OPS = "key string, version bigint, op string, elem string"
 
-    def __init__(self, spark: SparkSession, log: DataFrame | None = None, lists: DataFrame | None = None, now: int = 0, version: int | None = None) -> None:
-        self.spark, self.now = spark, now
-        self.log = log if log is not None else spark.createDataFrame([], LOG)
-        self.lists = lists if lists is not None else spark.createDataFrame([], self.LIST_OPS)
+    def __init__(self, spark: SparkSession, log: DataFrame | None = None, lists: DataFrame | None = None, now: int = 0, version: int | None = None, max_bytes: int = 0) -> None:
+        self.spark, self.now, self.max_bytes, self.bytes = spark, now, max_bytes, 0
+        self._log = _Rows(spark, log if log is not None else spark.createDataFrame([], LOG), LOG)
+        self._lists = _Rows(spark, lists if lists is not None else spark.createDataFrame([], self.LIST_OPS), self.LIST_OPS)
         if version is None:
             version = max(x.agg(F.max("version")).first()[0] or 0 for x in (self.log, self.lists))
         self.version = version
+        self._history: dict[str, int] = {}  # key -> last commit of a transaction; plain writes leave none
+        self._queue: list[tuple] | None = None
+        self._broken, self._began = False, 0
+        self._subscribers: dict[str, dict[str, deque]] = {}
 
-    def command(self, name: str, *args: object) -> DataFrame:
-        """Run a command, any letter case; an unknown one or a wrong count of arguments is an error."""
+    @property
+    def log(self) -> DataFrame:
+        return self._log.all()
+
+    @property
+    def lists(self) -> DataFrame:
+        return self._lists.all()
+
+    def command(self, name: str, *args: object) -> DataFrame | list[DataFrame] | None:
+        """Run a command, any letter case; an unknown one or a wrong count of arguments is an error. After MULTI commands queue until EXEC or DISCARD."""
         f: Callable | None = getattr(self, "do_" + name.lower(), None)
-        if f is None:
-            raise ValueError(f"ERR unknown command '{name}'")
         try:
-            return f(*args)
-        except TypeError as x:
-            raise ValueError(f"ERR wrong number of arguments for '{name}'") from x
+            if f is None:
+                raise ValueError(f"ERR unknown command '{name}'")
+            try:
+                inspect.signature(f).bind(*args)
+            except TypeError as x:
+                raise ValueError(f"ERR wrong number of arguments for '{name}'") from x
+        except ValueError:
+            self._broken = self._queue is not None
+            raise
+        if self._queue is not None and name.lower() not in ("multi", "exec", "discard"):
+            self._queue.append((name, *args))
+            return self._one(reply="QUEUED")
+        return f(*args)
 
     # helpers
     def state(self, dtype: str, key: str | None = None, as_of: int | None = None) -> DataFrame:
@@ -48,9 +130,13 @@ class Store:
 
     def _write(self, *rows: tuple) -> None:
         """rows (dtype, key, sub, value, score, deleted, expires_at), all at the next version; of a record twice the last stands."""
-        self.version += 1
         last = {r[:3]: r for r in rows}
-        self.log = self.log.unionByName(self.spark.createDataFrame([(*r, self.version, self.now) for r in last.values()], LOG))
+        more = sum(len(r[1] or "") + len(r[2] or "") + len(r[3] or "") for r in last.values())
+        if 0 < self.max_bytes < self.bytes + more and not all(r[5] for r in last.values()):
+            raise ValueError("ERR disk quota exceeded")
+        self.bytes += more
+        self.version += 1
+        self._log.add([(*r, self.version, self.now) for r in last.values()])
 
     def _one(self, **values: object) -> DataFrame:
         kinds = {bool: "boolean", int: "bigint", float: "double", str: "string", type(None): "string"}
@@ -59,6 +145,24 @@ class Store:
     def _new(self, dtype: str, key: str, subs: list[str]) -> int:
         return len(set(subs)) - self.state(dtype, key).filter(F.col("sub").isin(list(set(subs)))).count()
 
+    def _held(self, keys: list[str] | None = None, as_of: int | None = None) -> DataFrame:
+        """What the lists hold."""
+        ops = self.lists if keys is None else self.lists.filter(F.col("key").isin(keys))
+        return contents(lists.standing(ops, self.now, as_of))
+
+    # keys without type
+    def put(self, key: str, value: str, seconds: int = 0) -> None:
+        self._write((RAW, key, "", value, None, False, self.now + seconds if seconds > 0 else 0))
+
+    def get(self, key: str, as_of: int | None = None) -> DataFrame:
+        return self.state(RAW, key, as_of).select("value")
+
+    def delete(self, key: str) -> bool:
+        """Whether the key was there."""
+        was = not self.get(key).isEmpty()
+        self._write((RAW, key, "", None, None, True, 0))
+        return was
+
     # strings
     def do_set(self, key: str, value: str, *options: object) -> DataFrame:
         at, o = 0, [str(x).upper() for x in options]
@@ -116,38 +220,41 @@ class Store:
         """Counts keys, of whatever type, that were there; all their records go at one version."""
         wanted = list(set(keys))
         rows = resolve.resolve(self.log.filter(F.col("key").isin(wanted)), now=self.now).select("dtype", "key", "sub")
-        held = contents(self.lists.filter(F.col("key").isin(wanted)))
-        n = rows.select("key").union(held.select("key")).distinct().count()
+        held = self._held(wanted).select("key").distinct()
+        n = rows.select("key").union(held).distinct().count()
         self.version += 1
         gone = rows.select("dtype", "key", "sub", F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("deleted"), F.lit(0).cast("bigint").alias("expires_at"), F.lit(self.version).cast("bigint").alias("version"), F.lit(self.now).cast("bigint").alias("ts_s"))
-        self.log = self.log.unionByName(gone)
-        self.lists = self.lists.filter(~F.col("key").isin(wanted))
+        self._log.join(gone)
+        self._lists.add([(k, self.version, "DEL", None) for k in wanted])
         return self._one(n=n)
 
     def do_exists(self, key: str) -> DataFrame:
         there = not resolve.resolve(self.log.filter(F.col("key") == key), now=self.now).filter("dtype <> 'b' or value = '1'").isEmpty()
-        return self._one(n=int(there or not contents(self.lists.filter(F.col("key") == key)).isEmpty()))
+        return self._one(n=int(there or not self._held([key]).isEmpty()))
 
     def do_expire(self, key: str, seconds: int) -> DataFrame:
         rows = resolve.resolve(self.log.filter(F.col("key") == key), now=self.now)
-        n = int(not rows.isEmpty())
+        held = not self._held([key]).isEmpty()
+        n = int(held or not rows.isEmpty())
         self.version += 1
-        at = F.when((F.col("dtype") == "s") & F.lit(int(seconds) <= 0), F.lit(0)).otherwise(F.lit(self.now + int(seconds))).cast("bigint")
-        self.log = self.log.unionByName(rows.withColumn("expires_at", at).withColumn("version", F.lit(self.version).cast("bigint")))
+        at = F.when(F.col("dtype").isin("s", RAW) & F.lit(int(seconds) <= 0), F.lit(0)).otherwise(F.lit(self.now + int(seconds))).cast("bigint")
+        self._log.join(rows.withColumn("expires_at", at).withColumn("version", F.lit(self.version).cast("bigint")))
+        if held:
+            self._lists.add([(key, self.version, "EXPIRE", str(self.now + int(seconds)))])
         return self._one(n=n)
 
     def do_ttl(self, key: str) -> DataFrame:
         rows = resolve.newest(self.log.filter(F.col("key") == key))
         left = F.when(F.coalesce("expires_at", F.lit(0)) == 0, F.lit(-1)).otherwise(F.col("expires_at") - self.now)
-        first = rows.filter(resolve.alive(self.now)).orderBy("dtype", "sub").select(left.alias("n")).first()
+        first = rows.filter(resolve.alive(self.now)).orderBy("dtype", "sub").select(left.alias("n")).first() or lists.ttl(self.lists.filter(F.col("key") == key), self.now).select(F.col("ttl").alias("n")).first()
         return self._one(n=int(first["n"]) if first else -2)
 
     def do_keys(self, glob: str = "*") -> DataFrame:
-        names = resolve.names(resolve.resolve(self.log, now=self.now), glob)
-        return names.union(resolve.names(contents(self.lists).select("key"), glob)).distinct().orderBy("key")
+        there = resolve.resolve(self.log, now=self.now).select("key").union(self._held().select("key"))
+        return resolve.names(there, glob).orderBy("key")
 
     def do_scan(self, cursor: str | None = None, glob: str = "*", count: int = 10) -> DataFrame:
-        there = resolve.resolve(self.log, now=self.now).select("key").union(contents(self.lists).select("key"))
+        there = resolve.resolve(self.log, now=self.now).select("key").union(self._held().select("key"))
         return resolve.page(there, cursor, int(count), glob)
 
     # hashes
@@ -185,7 +292,7 @@ class Store:
         for e in elems or (None,):
             self.version += 1
             rows.append((key, self.version, op, e))
-        self.lists = self.lists.unionByName(self.spark.createDataFrame(rows, self.LIST_OPS))
+        self._lists.add(rows)
         return self.do_llen(key)
 
     def do_lpush(self, key: str, *elems: str) -> DataFrame:
@@ -195,7 +302,7 @@ class Store:
         return self._push(key, "RPUSH", elems)
 
     def _pop(self, key: str, op: str, at: int) -> DataFrame:
-        got = lrange(contents(self.lists.filter(F.col("key") == key)), at, at).select(F.col("elem").alias("value"))
+        got = lrange(self._held([key]), at, at).select(F.col("elem").alias("value"))
         got = self.spark.createDataFrame(got.collect(), "value string")  # one element
         self._push(key, op, ())
         return got
@@ -207,10 +314,10 @@ class Store:
         return self._pop(key, "RPOP", -1)
 
     def do_llen(self, key: str) -> DataFrame:
-        return contents(self.lists.filter(F.col("key") == key)).agg(F.count(F.lit(1)).alias("n"))
+        return self._held([key]).agg(F.count(F.lit(1)).alias("n"))
 
     def do_lrange(self, key: str, first: int, last: int) -> DataFrame:
-        return lrange(contents(self.lists.filter(F.col("key") == key)), int(first), int(last)).orderBy("i").select("i", "elem")
+        return lrange(self._held([key]), int(first), int(last)).orderBy("i").select("i", "elem")
 
     # sets
     def do_sadd(self, key: str, *members: str) -> DataFrame:
@@ -279,21 +386,102 @@ class Store:
     def do_info(self) -> DataFrame:
         return self.log.groupBy("dtype").agg(F.count(F.lit(1)).alias("writes"), F.sum(F.col("deleted").cast("bigint")).alias("deletes"))
 
+    # publish and subscribe
+    def do_subscribe(self, client: str, *channels: str) -> DataFrame:
+        """(channel, n): after each channel how many the client has."""
+        out = []
+        for c in channels:
+            self._subscribers.setdefault(c, {}).setdefault(client, deque())
+            out.append((c, sum(client in x for x in self._subscribers.values())))
+        return self.spark.createDataFrame(out, "channel string, n bigint")
+
+    def do_unsubscribe(self, client: str, *channels: str) -> DataFrame:
+        """As SUBSCRIBE; without channels from all."""
+        out = []
+        for c in channels or sorted(k for k, x in self._subscribers.items() if client in x):
+            self._subscribers.get(c, {}).pop(client, None)
+            out.append((c, sum(client in x for x in self._subscribers.values())))
+        return self.spark.createDataFrame(out, "channel string, n bigint")
+
+    def do_publish(self, channel: str, message: str) -> DataFrame:
+        """To how many it was delivered: each at most once, and not to a subscriber with BUFFER messages waiting."""
+        open_ = [q for q in self._subscribers.get(channel, {}).values() if len(q) < BUFFER]
+        for q in open_:
+            q.append(message)
+        return self._one(n=len(open_))
+
+    def received(self, client: str, channel: str) -> list[str]:
+        """The messages that wait for a subscriber, who then has none."""
+        q = self._subscribers.get(channel, {}).get(client, deque())
+        out = list(q)
+        q.clear()
+        return out
+
     # transactions
+    def begin(self) -> Tx:
+        return Tx(self)
+
+    def commit(self, tx: Tx) -> int:
+        """All writes at one version, which it returns; Conflict if another transaction wrote a key of this one since it began. Without writes it never conflicts."""
+        if not tx.writes:
+            return self.version
+        if any(self._history.get(k, 0) > tx.read_version for k in tx.reads | set(tx.writes)):
+            raise Conflict
+        self._write(*[("s", k, "", v, None, v is None, at) for k, (v, at) in tx.writes.items()])
+        self._history |= dict.fromkeys(tx.writes, self.version)
+        return self.version
+
+    def update(self, change: Callable[[Tx], object]) -> object:
+        """Run ``change`` in a transaction and commit; what it raises leaves nothing written."""
+        tx = self.begin()
+        out = change(tx)
+        self.commit(tx)
+        return out
+
+    def view(self, look: Callable[[Tx], object]) -> object:
+        """Run ``look`` on a snapshot; it may not write."""
+        tx = self.begin()
+        out = look(tx)
+        if tx.writes:
+            raise ValueError("ERR read-only transaction")
+        return out
+
+    def do_multi(self) -> DataFrame:
+        if self._queue is not None:
+            raise ValueError("ERR MULTI calls can not be nested")
+        self._queue, self._broken, self._began = [], False, self.version
+        return self._one(reply="OK")
+
+    def do_discard(self) -> DataFrame:
+        if self._queue is None:
+            raise ValueError("ERR DISCARD without MULTI")
+        self._queue, self._broken = None, False
+        return self._one(reply="OK")
+
+    def do_exec(self) -> list[DataFrame] | None:
+        """The queue's results, or None on a conflict."""
+        if self._queue is None:
+            raise ValueError("ERR EXEC without MULTI")
+        queue, broken = self._queue, self._broken
+        self._queue, self._broken = None, False
+        if broken:
+            raise ValueError("EXECABORT Transaction discarded because of previous errors.")
+        return self.execute(queue, self._began)
+
     def execute(self, queue: list[tuple], read_version: int | None = None) -> list[DataFrame] | None:
-        """MULTI ... EXEC: the queue's commands at once, or None if a key it names was written after ``read_version``.
+        """MULTI ... EXEC: the queue's commands at once, or None if a key that any of them names was written by another transaction after ``read_version``.
 
-        A queue that only reads never conflicts.
+        Plain writes make no conflict, and a queue that only reads never has one.
         """
-        reads = {"get", "mget", "hget", "hgetall", "hlen", "hkeys", "llen", "lrange", "smembers", "sismember", "scard", "sinter", "zscore", "zrangebyscore", "getbit", "bitcount", "keys", "scan", "ttl", "exists", "info"}
-        if read_version is not None and any(c[0].lower() not in reads for c in queue):
-            keys = [str(c[1]) for c in queue if len(c) > 1]
-            late = [x.filter(F.col("key").isin(keys) & (F.col("version") > read_version)).select("key") for x in (self.log, self.lists)]
-            if not reduce(DataFrame.union, late).isEmpty():
-                return None
-        kept = (self.log, self.lists, self.version)
+        touched = {str(k) for c in queue for k in c[1:][_ALL_KEYS.get(c[0].lower(), slice(1))]}
+        written = {str(k) for c in queue if c[0].lower() not in READS for k in c[1:][_ALL_KEYS.get(c[0].lower(), slice(1))]}
+        if read_version is not None and written and any(self._history.get(k, 0) > read_version for k in touched):
+            return None
+        kept = (self._log.copy(), self._lists.copy(), self.version, self.bytes)
         try:
-            return [self.command(*c) for c in queue]
+            out = [self.command(*c) for c in queue]
         except ValueError:
-            self.log, self.lists, self.version = kept  # all or nothing
+            self._log, self._lists, self.version, self.bytes = kept  # all or nothing
             raise
+        self._history |= dict.fromkeys(written, self.version)
+        return out

@@ -191,6 +191,111 @@ def test_store_commands(spark):
     assert s.execute([("GET", "n"), ("INCR", "n")], v) is not None and s.execute([("INCR", "n")], v) is None and s.execute([("GET", "n")], v) is not None
 
 
+def test_store_lists_expire_and_go(spark):
+    s = Store(spark, now=1000)
+    one = lambda *a: (lambda r: r[0] if r else None)(s.command(*a).first())
+    one("RPUSH", "l", "a", "b")
+    one("HSET", "l", "f", "v")
+    v = s.version
+    assert one("TTL", "l") == -1 and one("EXPIRE", "l", 60) == 1 and one("TTL", "l") == 60 and one("EXPIRE", "none", 5) == 0
+    one("RPUSH", "l", "c")
+    one("HDEL", "l", "f")
+    assert one("TTL", "l") == 60
+    s.now = 1060
+    assert [r["elem"] for r in s.command("LRANGE", "l", 0, -1).collect()] == ["c"] and one("TTL", "l") == -1
+    assert one("DEL", "l") == 1 and one("LLEN", "l") == 0 and one("EXISTS", "l") == 0 and one("TTL", "l") == -2
+    assert [r["key"] for r in s.command("KEYS").collect()] == []
+    s.now = 1000
+    assert [r["elem"] for r in s._held(["l"], v).orderBy("pos").collect()] == ["a", "b"]  # as of before
+    one("RPUSH", "l", "d")
+    assert one("LPOP", "l") == "d" and one("LPOP", "l") is None
+
+
+def test_store_transactions(spark):
+    from ledgerline.store import Conflict
+
+    s = Store(spark, now=0)
+    s.update(lambda t: (t.set("a", "1"), t.set("b", "1")))
+    x, y = s.begin(), s.begin()
+    for t, k in ((x, "a"), (y, "b")):  # write skew: both read both
+        assert (t.get("a"), t.get("b"), t.get("none")) == ("1", "1", None)
+        t.set(k, "0")
+        assert t.get(k) == "0"
+    s.commit(x)
+    with pytest.raises(Conflict):
+        s.commit(y)
+    z = s.begin()
+    s.command("SET", "b", "plain")  # no transaction, so no conflict
+    assert z.get("b") == "1"
+    z.set("c", "2", 50)
+    z.delete("a")
+    v = s.commit(z)
+    assert s.log.filter(F.col("version") == v).count() == 2 and s.command("GET", "a").isEmpty() and s.command("TTL", "c").first()[0] == 50
+    w = s.begin()
+    assert w.get("d") is None
+    s.update(lambda t: t.set("d", "1"))
+    w.set("e", "1")
+    with pytest.raises(Conflict):  # a miss is a read
+        s.commit(w)
+    with pytest.raises(KeyError):
+        s.update(lambda t: (t.set("f", "1"), {}["x"]))
+    assert s.command("GET", "f").isEmpty() and s.view(lambda t: t.get("d")) == "1"
+    # queues
+    v = s.version
+    s.execute([("SET", "b2", "x")], v)
+    assert s.execute([("MSET", "q", "1", "b2", "9")], v) is None and s.execute([("SET", "u", "1"), ("DEL", "q", "b2")], v) is None
+    assert s.execute([("MGET", "q", "b2")], v) is not None
+    s.command("MULTI")
+    with pytest.raises(ValueError, match="nested"):
+        s.command("MULTI")
+    assert s.command("SET", "m", "1").first()[0] == "QUEUED"
+    s.command("DISCARD")
+    assert s.command("GET", "m").isEmpty()
+    s.command("MULTI")
+    s.command("SET", "m", "1")
+    with pytest.raises(ValueError, match="unknown"):
+        s.command("NOPE")
+    with pytest.raises(ValueError, match="EXECABORT"):
+        s.command("EXEC")
+    with pytest.raises(ValueError, match="without"):
+        s.command("EXEC")
+    s.command("MULTI")
+    s.command("INCR", "n")
+    s.command("INCR", "n")
+    assert [r.first()[0] for r in s.command("EXEC")] == [1, 2]
+
+
+def test_store_raw_keys_quota_channels_and_many_writes(spark, monkeypatch):
+    import ledgerline.store as store
+
+    s = Store(spark, now=10)
+    s.put("raw", "v", 5)
+    assert s.get("raw").first()[0] == "v" and s.command("GET", "raw").isEmpty() and [r["key"] for r in s.command("KEYS").collect()] == ["raw"]
+    assert s.delete("raw") and not s.delete("raw") and s.command("TTL", "raw").first()[0] == -2
+    q = Store(spark, max_bytes=10)
+    q.command("SET", "k", "12345678")
+    with pytest.raises(ValueError, match="quota"):
+        q.command("SET", "k2", "1")
+    assert q.command("DEL", "k").first()[0] == 1
+    assert [tuple(r) for r in s.command("SUBSCRIBE", "c1", "x", "y").collect()] == [("x", 1), ("y", 2)]
+    s.command("SUBSCRIBE", "c2", "x")
+    assert s.command("PUBLISH", "x", "m").first()[0] == 2 and s.command("PUBLISH", "z", "m").first()[0] == 0 and s.received("c1", "x") == ["m"]
+    assert [s.command("PUBLISH", "x", "m").first()[0] for _ in range(3)] == [2] * 3
+    s._subscribers["x"]["c2"].extend(["m"] * store.BUFFER)
+    assert s.command("PUBLISH", "x", "m").first()[0] == 1
+    assert [tuple(r) for r in s.command("UNSUBSCRIBE", "c1").collect()] == [("x", 1), ("y", 0)]
+    monkeypatch.setattr(store, "FLUSH", 3)
+    monkeypatch.setattr(store, "FRAMES", 2)
+    m = Store(spark)
+    for i in range(7):
+        m.command("SET", f"k{i % 4}", str(i))
+    for i in range(3):
+        m.command("DEL", f"k{i}")
+    assert {r["key"]: r["value"] for r in m.state("s").collect()} == {"k3": "3"}
+    with pytest.raises(ValueError, match="number of arguments"):
+        m.command("GET")
+
+
 def test_entry_is_complete():
     import __spark_entry__ as e
 

@@ -30,6 +30,47 @@ def bottom_drop(kept: DataFrame, by: list[str], now: int) -> DataFrame:
     return per_key(kept, n, by).filter((F.col("__n") > 1) | F.col("__any")).drop("__n", "__any")
 
 
+def tombstoned(kept: DataFrame, now: int) -> DataFrame:
+    """Compaction writes an expired put as a tombstone: the same record and version, deleted, without value or expiry left to read."""
+    late = F.coalesce((F.col("expires_at") > 0) & (F.col("expires_at") <= now), F.lit(False)) & ~F.coalesce("deleted", F.lit(False))
+    return kept.withColumn("value", F.when(~late, F.col("value"))).withColumn("deleted", F.col("deleted") | late)
+
+
+#: Share of tombstones over which a table is due; level 0 is due from so many tables; levels; growth from level to level.
+DUE, L0_TABLES, LEVELS, RATIO = 0.40, 4, 5, 10
+
+
+def level_limits(last_size: int, base: int, levels: int = LEVELS, ratio: int = RATIO) -> list[int]:
+    """Sizes of the levels, from the deepest up: what is there, at least base x ratio, and a ``ratio``-th a level; one that comes to no more than ``base`` has none (0)."""
+    out = [0] * levels
+    out[-1] = max(last_size, base * ratio)
+    for at in range(levels - 2, 0, -1):
+        share = out[at + 1] // ratio
+        out[at] = share if share > base else 0
+    return out
+
+
+def pick(tables: DataFrame, base: int, number: str = "t", level: str = "level", size: str = "rows", dead: str = "dead") -> tuple[int, int | None] | None:
+    """What to compact: (level, table), (level, None) for a whole level, or None.
+
+    First, from the deepest level but one upwards, the level's first table of more than DUE tombstones. Else the level
+    that is fullest: level 0 by its tables, from L0_TABLES on, deeper ones by their size over their limit, where more than full. Levels are few, so what comes to the driver is a row each.
+    """
+    rows = tables.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"), F.min(F.when(F.col(dead) > DUE * F.col(size), F.col(number))).alias("due"))
+    by = {r[level]: r for r in rows.collect()}
+    for at in range(LEVELS - 2, -1, -1):
+        if at in by and by[at]["due"] is not None:
+            return at, by[at]["due"]
+    best, score = None, 1.0
+    if 0 in by and by[0]["n"] >= L0_TABLES:
+        best, score = 0, by[0]["n"] / L0_TABLES
+    limits = level_limits(by[LEVELS - 1]["size"] if LEVELS - 1 in by else 0, base)
+    for at in range(1, LEVELS - 1):
+        if at in by and limits[at] and by[at]["size"] / limits[at] > score:
+            best, score = at, by[at]["size"] / limits[at]
+    return None if best is None else (best, None)
+
+
 def live_tables(manifest: DataFrame) -> DataFrame:
     """(seq, level, min_key, max_key) of tables whose last record, in order of arrival, is an addition; a deletion of an unknown table changes nothing."""
     last = manifest.filter(F.col("seq").isNotNull()).groupBy("seq").agg(F.max(F.struct("man_id", F.upper(F.trim("action")).alias("a"), "level", "min_key", "max_key")).alias("r"))
@@ -75,9 +116,35 @@ def adaptive_threshold(samples: DataFrame, size: str, order: str, per: int, low:
     return g.select("window", F.least(F.greatest(F.element_at("s", (F.floor(F.size("s") * 0.75) + 1).cast("int")), F.lit(low)), F.lit(high)).cast("bigint").alias("threshold"))
 
 
+def vlog_once(entries: DataFrame) -> DataFrame:
+    """Entries each once: of rows with one (fid, voffset, appended_at) that not dropped or dropped last, then of the greatest size, then other columns."""
+    rest = [c for c in entries.columns if c not in ("fid", "voffset", "appended_at", "dropped_at", "vsize")]
+    order = F.struct(F.col("dropped_at").isNull().alias("open"), "dropped_at", "vsize", *rest)
+    return entries.groupBy("fid", "voffset", "appended_at").agg(F.max(order).alias("r")).select("fid", "voffset", "appended_at", "r.dropped_at", "r.vsize", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def gc_rewrite(entries: DataFrame, fid: int, now: Column) -> DataFrame:
+    """(fid, voffset, key, vsize, to_fid, to_offset): the entries of a segment that are live at ``now``, one after the other in a new segment past the last.
+
+    A segment is bounded (128 MiB), so its entries are ordered in one task.
+    """
+    top = entries.agg(F.max("fid")).first()[0]
+    here = vlog_once(entries.filter(F.col("fid") == fid)).filter(F.col("dropped_at").isNull() | (F.col("dropped_at") > now))
+    size = F.coalesce("vsize", F.lit(0)).cast("bigint")
+    upto = F.coalesce(F.sum(size).over(W.partitionBy("fid").orderBy("voffset", "appended_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return here.select("fid", "voffset", "key", size.alias("vsize"), F.lit(top + 1).cast("bigint").alias("to_fid"), upto.alias("to_offset"))
+
+
+def still_referenced(entries: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(fid, pointers, removable): how many entries some pointer of any version still names; a segment may be removed only without any."""
+    named = pointers.dropna(subset=["fid", "voffset"]).select("fid", "voffset").distinct()
+    n = entries.select("fid", "voffset").distinct().join(named.withColumn("named", F.lit(1)), ["fid", "voffset"], "left").groupBy("fid").agg(F.count("named").alias("pointers"))
+    return n.withColumn("removable", F.col("pointers") == 0)
+
+
 def discard_stats(entries: DataFrame, now: Column) -> DataFrame:
-    """(fid, live_bytes, dead_bytes, ratio) per value-log segment; repeated entries count once."""
-    once = entries.dropDuplicates(["fid", "voffset", "appended_at"])
+    """(fid, live_bytes, dead_bytes, ratio) per value-log segment; of entries reported several times the one dropped last, then the largest, counts."""
+    once = vlog_once(entries)
     dead = F.col("dropped_at").isNotNull() & (F.col("dropped_at") <= now)
     size = F.coalesce("vsize", F.lit(0)).cast("bigint")
     x = once.groupBy("fid").agg(F.sum(F.when(dead, 0).otherwise(size)).cast("bigint").alias("live_bytes"), F.sum(F.when(dead, size).otherwise(0)).cast("bigint").alias("dead_bytes"))

@@ -12,6 +12,7 @@ from ..operators.incremental import speaking_runs
 from ..operators.orphans import micros
 from ..operators.scan import prefix_scan
 from ..schema import NOW
+from ..shared import materialize
 from . import logs as L
 
 READ_AT, HORIZON, SPAN, BACKLOG = 6000, 4000, 200, 10000
@@ -90,6 +91,12 @@ def compact_retention(s: SparkSession, d: str) -> DataFrame:
     return M.retained(L.strings(s, d), ["dtype", "key", "sub"], HORIZON).select("key", "version", "deleted")
 
 
+def compact_expired(s: SparkSession, d: str) -> DataFrame:
+    """What compaction at HORIZON writes at NOW: expired puts as tombstones."""
+    kept = M.tombstoned(M.retained(L.strings(s, d), ["dtype", "key", "sub"], HORIZON), NOW)
+    return kept.select("key", "version", "value", "deleted")
+
+
 def compact_bottom_drop(s: SparkSession, d: str) -> DataFrame:
     """The bottom level drops only while no reader is active, so the horizon is the log's last version."""
     by, log = ["dtype", "key", "sub"], L.strings(s, d)
@@ -106,7 +113,25 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
 
 
 def tombstone_ratio(s: SparkSession, d: str) -> DataFrame:
-    return _tables(s, d).select("t", "level", "rows", "dead", (F.col("dead") / F.col("rows") > 0.3).alias("due"))
+    return _tables(s, d).select("t", "level", "rows", "dead", (F.col("dead") > M.DUE * F.col("rows")).alias("due"))
+
+
+BASE = 50
+
+
+def _picked(s: SparkSession, tables: DataFrame) -> DataFrame:
+    got = M.pick(tables, BASE)
+    return s.createDataFrame([got] if got else [], "level bigint, t bigint")
+
+
+def compaction_pick(s: SparkSession, d: str) -> DataFrame:
+    """The table to compact for its tombstones, or the fullest level."""
+    return _picked(s, _tables(s, d))
+
+
+def compaction_pick_level(s: SparkSession, d: str) -> DataFrame:
+    """The same without tombstones, so by levels' sizes."""
+    return _picked(s, _tables(s, d).withColumn("dead", F.lit(0)))
 
 
 def level_scores(s: SparkSession, d: str) -> DataFrame:
@@ -155,6 +180,17 @@ def vlog_gc_candidate(s: SparkSession, d: str) -> DataFrame:
     return _vlog(s, d).filter("ratio >= 0.01").orderBy(F.desc("dead_bytes"), "fid").limit(1).select(F.col("fid").cast("bigint").alias("fid"), "dead_bytes")
 
 
+def vlog_gc_rewrite(s: SparkSession, d: str) -> DataFrame:
+    """The live entries of the candidate, in their new places."""
+    best = vlog_gc_candidate(s, d).first()
+    v = L.read(s, d, "vlog_entries").select(F.col("fid").cast("bigint").alias("fid"), "voffset", "vsize", "key", micros("appended_at").alias("appended_at"), micros("dropped_at").alias("dropped_at"))
+    return M.gc_rewrite(v, best["fid"] if best else -1, F.lit(NOW * 1000000)).select("fid", "voffset", "key", "vsize", "to_fid", "to_offset")
+
+
+def vlog_still_referenced(s: SparkSession, d: str) -> DataFrame:
+    return M.still_referenced(L.read(s, d, "vlog_entries"), L.read(s, d, "value_pointers")).select(F.col("fid").cast("bigint").alias("fid"), "pointers", "removable")
+
+
 def wal_valid_prefix(s: SparkSession, d: str) -> DataFrame:
     return M.valid_prefix(L.events(s, d), "version", F.col("version") % 4096 == 0).agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("last"))
 
@@ -183,10 +219,13 @@ def pitr_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def encrypt_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """Values sealed with AES-GCM under a 16-byte key and opened again."""
-    key = F.lit("0123456789abcdef")
-    sealed = L.strings(s, d).select("key", "version", "value", F.aes_encrypt("value", key, F.lit("GCM")).alias("sealed"))
-    return sealed.select("key", "version", F.aes_decrypt("sealed", key, F.lit("GCM")).cast("string").alias("value"))
+    """Values sealed with AES-GCM under a 16-byte key and opened again; whether the sealed one hides the value, and whether another key is refused."""
+    key, other = F.lit("0123456789abcdef"), F.lit("0123456789abcdeX")
+    # written, so that opening does not meet the sealing in one plan
+    sealed = materialize(L.strings(s, d).select("key", "version", "value", F.aes_encrypt("value", key, F.lit("GCM")).alias("sealed")), "sealed")
+    hidden = ~F.contains(F.hex("sealed"), F.hex("value")) & (F.octet_length("sealed") == F.octet_length("value") + 28)
+    refused = F.try_aes_decrypt("sealed", other, F.lit("GCM")).isNull()
+    return sealed.select("key", "version", F.aes_decrypt("sealed", key, F.lit("GCM")).cast("string").alias("value"), hidden.alias("hidden"), refused.alias("refused"))
 
 
 def op_stats(s: SparkSession, d: str) -> DataFrame:
@@ -248,8 +287,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         view_snapshot_sum, read_your_writes, ssi_candidates, ssi_outcome, multi_exec_outcome, ssi_multi, ssi_history_trim, commit_at, applied_watermark, min_read_ts, batch_atomicity,
-        compact_retention, compact_bottom_drop, tombstone_ratio, level_scores, overlapping_tables, ingest_self_overlap, ingest_target_level, adaptive_threshold, value_separation,
-        vlog_discard_stats, vlog_gc_candidate, wal_valid_prefix, recover_state, manifest_live, checkpoint_prune, pitr_state, pitr_stats, encrypt_roundtrip, op_stats,
+        compact_retention, compact_expired, compact_bottom_drop, tombstone_ratio, compaction_pick, compaction_pick_level, level_scores, overlapping_tables, ingest_self_overlap, ingest_target_level, adaptive_threshold, value_separation,
+        vlog_discard_stats, vlog_gc_candidate, vlog_gc_rewrite, vlog_still_referenced, wal_valid_prefix, recover_state, manifest_live, checkpoint_prune, pitr_state, pitr_stats, encrypt_roundtrip, op_stats,
         pubsub_delivered, subscription_count, psync_since, psync_decision, snapshot_plus_tail, replica_apply, successful_runs,
     )
 }
@@ -259,7 +298,8 @@ _E = L.with_()
 _tab = "tab as (select *, level * 1000000 + tno as t from (select level, (l_orderkey + 137 * level) // 500 as tno, min(l_orderkey) mn, max(l_orderkey) mx, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) dead from (select *, cast(l_linenumber % 3 as bigint) as level from lineitem) x group by 1, 2) y)"
 _TAB = f"with {_tab} "
 _thr = "thr as (select event_id // 2048 as w, cast(least(greatest(list_sort(list(cast(floor(v * 10) as bigint)))[cast(floor(count(*) * 0.75) as bigint) + 1], 128), 1048576) as bigint) as threshold from e group by 1)"
-_vl = "vl as (select fid, cast(sum(case when dropped_at is not null and dropped_at <= timestamp '2024-01-28 00:00:00' then 0 else coalesce(vsize, 0) end) as bigint) live_bytes, cast(sum(case when dropped_at is not null and dropped_at <= timestamp '2024-01-28 00:00:00' then coalesce(vsize, 0) else 0 end) as bigint) dead_bytes from (select distinct on (fid, voffset, appended_at) * from vlog_entries) x group by fid)"
+_once = "(select * from (select *, row_number() over (partition by fid, voffset, appended_at order by dropped_at is null desc, dropped_at desc, vsize desc nulls last, key desc nulls last) rn from vlog_entries) y where rn = 1) x"
+_vl = f"vl as (select fid, cast(sum(case when dropped_at is not null and dropped_at <= timestamp '2024-01-28 00:00:00' then 0 else coalesce(vsize, 0) end) as bigint) live_bytes, cast(sum(case when dropped_at is not null and dropped_at <= timestamp '2024-01-28 00:00:00' then coalesce(vsize, 0) else 0 end) as bigint) dead_bytes from {_once} group by fid)"
 
 
 def _outcome(only: str) -> str:
@@ -270,6 +310,12 @@ f as (select key, cast(0 as bigint) as i, cast(-1000000 as bigint) as l, cast(nu
 select txn, ok as committed from f where txn is not null"""
 
 
+def _pick(dead: str) -> str:
+    """Levels 0 to 2 of 5 are there, so the limits of levels 1 to 4 are of base x ratio, upwards: 0, 0, 0, 10 x base; with level 4 empty only level 0 can be over its limit."""
+    return f"""{_TAB}, due as (select level, t from tab where {dead} > 0.4::double * n order by level desc, t limit 1)
+select level, t from due union all select cast(0 as bigint) as level, cast(null as bigint) as t from tab where level = 0 and not exists (select 1 from due) having count(*) >= 4"""
+
+
 _put = "upper(trim(op)) in ('PUT', 'SET', '1')"
 _del = "upper(trim(op)) in ('DEL', 'DELETE', '2')"
 SQL = {
@@ -291,7 +337,16 @@ select ver as txn, ok as committed from f where ver > 0""",
     "batch_atomicity": "select batch_id, cast(count(*) as bigint) as entries, cast(count(distinct version) as bigint) as versions, count(distinct version) <> 1 as torn from batch_writes group by batch_id",
     "compact_retention": f"{_S} select key, version, deleted from (select *, row_number() over (partition by key, version <= {HORIZON} order by version desc) rn from strings) x where version > {HORIZON} or rn = 1",
     "compact_bottom_drop": f"{_S} select key, version from {L.newest_sql('strings')} z where {L.LIVE}",
-    "tombstone_ratio": f"{_TAB} select t, level, n as rows, cast(dead as bigint) as dead, dead / n > 0.3 as due from tab",
+    "compact_expired": f"{_S} select key, version, case when deleted or expires_at = 0 or expires_at > {NOW} then value end as value, deleted or (expires_at > 0 and expires_at <= {NOW}) as deleted from (select *, row_number() over (partition by key, version <= {HORIZON} order by version desc) rn from strings) x where version > {HORIZON} or rn = 1",
+    "compaction_pick": _pick("dead"),
+    "compaction_pick_level": _pick("0"),
+    "vlog_gc_rewrite": f"""with {_vl}, best as (select fid from vl where dead_bytes >= 0.01 * (live_bytes + dead_bytes) order by dead_bytes desc, fid limit 1),
+o as (select * from {_once} where fid = (select fid from best) and (dropped_at is null or dropped_at > timestamp '2024-01-28 00:00:00'))
+select cast(fid as bigint) as fid, voffset, key, cast(coalesce(vsize, 0) as bigint) as vsize, (select cast(max(fid) + 1 as bigint) from vlog_entries) as to_fid,
+  cast(coalesce(sum(coalesce(vsize, 0)) over (order by voffset, appended_at rows between unbounded preceding and 1 preceding), 0) as bigint) as to_offset from o""",
+    "vlog_still_referenced": """select cast(v.fid as bigint) as fid, cast(count(p.fid) as bigint) as pointers, count(p.fid) = 0 as removable from (select distinct fid, voffset from vlog_entries) v
+left join (select distinct fid, voffset from value_pointers where fid is not null and voffset is not null) p on p.fid = v.fid and p.voffset = v.voffset group by v.fid""",
+    "tombstone_ratio": f"{_TAB} select t, level, n as rows, cast(dead as bigint) as dead, dead > 0.4::double * n as due from tab",
     "level_scores": f"{_TAB} select level, cast(count(*) as bigint) as tables, cast(sum(n) as bigint) as rows, case level when 0 then count(*) / 4.0::double when 1 then cast(sum(n) as bigint) / 10000.0::double else cast(sum(n) as bigint) / 100000.0::double end as score from tab group by level",
     "overlapping_tables": f"{_TAB} select a.t as a, b.t as b from tab a join tab b on a.t < b.t and a.mn <= b.mx and b.mn <= a.mx",
     "ingest_self_overlap": f"{_TAB} select t, mn, mx from (select *, max(mx) over (order by mn, mx, t rows between unbounded preceding and 1 preceding) p from tab where level < 2) x where p >= mn",
@@ -306,7 +361,7 @@ select ver as txn, ok as committed from f where ver > 0""",
     "checkpoint_prune": "select name, row_number() over (order by name desc) <= 5 as kept from (select distinct strftime(finished_at, '%Y%m%d') as name from repl_runs where finished_at is not null) x",
     "pitr_state": f"{_S} select key, value, version from {L.newest_sql('strings', f'ts_s <= {UNTIL}')} z where not deleted",
     "pitr_stats": f"{_E} select cast(count(case when ts_s <= {UNTIL} then 1 end) as bigint) as kept, cast(count(case when ts_s > {UNTIL} then 1 end) as bigint) as skipped from e",
-    "encrypt_roundtrip": f"{_S} select key, version, value from strings",
+    "encrypt_roundtrip": f"{_S} select key, version, value, true as hidden, true as refused from strings",
     "op_stats": f"select coalesce(dtype, 'none') as dtype, case when {_put} then 'put' when {_del} then 'delete' else 'other' end as op, cast(count(*) as bigint) as n from wal_log group by 1, 2",
     "pubsub_delivered": f"""{_E}, sub as (select user_id % 10 as channel, version as since, (select min(b.version) from e b where b.u = a.u and b.et = 'error' and b.version > a.version) as until from e a where et = 'signup')
 select e.version, e.user_id % 10 as channel, cast(count(sub.since) as bigint) as n from e left join sub on sub.channel = e.user_id % 10 and sub.since <= e.version and (sub.until is null or e.version < sub.until) group by 1, 2""",

@@ -13,6 +13,7 @@ import json
 import math
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,17 +47,17 @@ def level_up(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def grown(lowest: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
-    """(part, node, d, level): a whole tree over its leaves (level 0)."""
+    """(part, node, d, level): a whole tree over its leaves (level 0); the levels above, a fanout-th at most, are written once each."""
     out, at = lowest.withColumn("level", F.lit(0)), lowest
     for i in range(1, levels + 1):
-        at = level_up(at, fanout)
+        at = materialize(level_up(at, fanout), "level")
         out = out.unionByName(at.withColumn("level", F.lit(i)))
     return out
 
 
-def depth(numbers: int, width: int = LEAF, fanout: int = FANOUT) -> int:
-    """Levels above the leaves for numbers up to ``numbers``."""
-    return max(1, math.ceil(math.log(max(2, numbers / width + 1), fanout)))
+def depth(last: int, fanout: int = FANOUT) -> int:
+    """Levels above leaves up to number ``last``."""
+    return max(1, math.ceil(math.log(max(2, last + 1), fanout)))
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
@@ -105,9 +106,13 @@ def applied(records: DataFrame, runs: DataFrame, width: int = REACH) -> DataFram
 
 def adopt(records: DataFrame, runs: DataFrame, root: str, width: int = LEAF) -> int:
     """Version 1 at ``root`` from a log of runs that saved no tree: what the runs applied, with its tree; take() goes on from it."""
-    done = materialize(applied(records, runs), "applied")
-    top = records.agg(F.max("seq")).first()[0] or 0
-    return publish(done, grown(materialize(leaves(done, "feed", "seq", ["key"], width), "leaves"), depth(top, width)), root, 0)
+
+
+    def tree(done: DataFrame) -> DataFrame:
+        lowest = materialize(leaves(done, "feed", "seq", ["key"], width), "leaves")
+        return grown(lowest, depth(lowest.agg(F.max("node")).first()[0] or 0))
+
+    return publish(applied(records, runs), tree, root, 0)
 
 
 def pending(records: DataFrame, runs: DataFrame, root: str, width: int = LEAF) -> DataFrame:
@@ -119,8 +124,8 @@ def pending(records: DataFrame, runs: DataFrame, root: str, width: int = LEAF) -
     return published(records.sparkSession, root, "output", take(records, "feed", "seq", ["key"], root, width)).select("feed", "seq", "key")
 
 
-def publish(output: DataFrame, tree: DataFrame, root: str, base: int | None = None) -> int:
-    """Write output and tree side by side, then make both current by one rename; returns the version.
+def publish(output: DataFrame, tree: DataFrame | Callable[[DataFrame], DataFrame], root: str, base: int | None = None) -> int:
+    """Write output and tree (or what it gives of the written output) side by side, then make both current by one rename; returns the version.
 
     ``base`` is the version that the run started from (by default the current one). A writer that dies before the rename leaves
     folders that nothing refers to. Of two writers with one base the second fails: the rename never replaces a marker. The marker names the folders of all outputs so far.
@@ -130,6 +135,8 @@ def publish(output: DataFrame, tree: DataFrame, root: str, base: int | None = No
     version = base + 1
     folder = f"{root}/v{version}-{uuid.uuid4().hex}"
     output.write.parquet(f"{folder}/output")
+    if not isinstance(tree, DataFrame):
+        tree = tree(spark.read.schema(output.schema).parquet(f"{folder}/output"))
     tree.write.partitionBy("level").parquet(f"{folder}/tree") if "level" in tree.columns else tree.write.parquet(f"{folder}/tree")
     parts = [*(_marker(spark, root, base)[2] if base else []), f"{folder}/output"]
     if len(parts) > PARTS:
@@ -165,16 +172,15 @@ def take(records: DataFrame, part: str, number: str, what: list[str], root: str,
     cols = [part, number, *what]
     once = materialize(records.filter(F.col(number).isNotNull()).select(*cols).distinct(), "entries")
     lowest = materialize(leaves(once, part, number, what, width), "leaves")
-    levels = depth(lowest.agg(F.max("node")).first()[0] or 0, 1, fanout)
+    levels = depth(lowest.agg(F.max("node")).first()[0] or 0, fanout)
     if not base:
         return publish(once, grown(lowest, levels, fanout), root, 0)
     saved = published(spark, root, "tree", base)
-    levels = max(levels, saved.agg(F.max("level")).first()[0] or 0)
-    tree = materialize(grown(lowest, levels, fanout), "tree", ["level"])
-    old = saved.filter("level = 0").drop("level")
-    top = saved.agg(F.max("level")).first()[0] or 0
+    top = saved.filter("level > 0").agg(F.max("level")).first()[0] or 0
+    levels = max(levels, top)
+    tree = grown(lowest, levels, fanout)
     if top < levels:  # the numbers outgrew the saved tree's root
-        saved = grown(old, levels, fanout)
+        saved = grown(saved.filter("level = 0").drop("level"), levels, fanout)
     differ = materialize(changed_leaves(tree, saved, levels, fanout), "changed")
     n = differ.count()
 

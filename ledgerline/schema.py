@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: 2024-01-28T00:00:00Z; queries never read the wall clock.
 NOW = 1706400000
 STRING, HASH, LIST, SET, ZSET, BITMAP, RAW = "s", "h", "l", "t", "z", "b", "raw"
+#: dtype of a row that begins a snapshot in a replication feed.
+SNAPSHOT = "snapshot"
 ID = ["dtype", "key", "sub"]
 
 LOG = T.StructType(

@@ -9,6 +9,8 @@ one patch per key is applied to the base table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,25 @@ def patches(feed: DataFrame, key: str, version: str, ts: str, seq: str, op: str,
     return ranged.groupBy("k", "chunk").agg(F.max("p").alias("p")).groupBy("k").agg(F.max("p").alias("p"))
 
 
+def composed(*some: DataFrame) -> DataFrame:
+    """Patch tables of parts of a feed as one, in whatever order; deletes are patches too, so a late record never undoes a later one."""
+    return reduce(DataFrame.unionByName, some).groupBy("k").agg(F.max("p").alias("p"))
+
+
+def state(p: DataFrame, payload: list[str] = ()) -> DataFrame:
+    """The keys that hold a value under a patch table: (key, version, ts, seq, payload...)."""
+    return p.filter("p.put").select(F.col("k").alias("key"), "p.version", "p.ts", (-F.col("p.back")).alias("seq"), *[F.col(f"p.{c}").alias(c) for c in payload])
+
+
 def apply_feed(feed: DataFrame, key: str, version: str, ts: str, seq: str, op: str, payload: list[str] = (), base: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """Keys that hold a value after the feed: (key, version, ts, seq, payload...).
 
     ``base``, if given, has the same columns and is one more set of puts, so applying
-    a feed twice, or in two halves in either order, gives the same state.
+    a feed twice gives the same state. A base has forgotten its deletes; to go on with a feed that brings late records keep its patches and use composed().
     An empty feed gives the base; repeated records change nothing.
     """
     p = patches(feed, key, version, ts, seq, op, payload, chunk)
     if base is not None:
         put = F.struct(F.col("version"), F.col("ts"), (-F.col("seq")).alias("back"), F.lit(True).alias("put"), *[F.col(c) for c in payload])
-        p = p.unionByName(base.select(F.col("key").alias("k"), put.alias("p"))).groupBy("k").agg(F.max("p").alias("p"))
-    return p.filter("p.put").select(F.col("k").alias("key"), "p.version", "p.ts", (-F.col("p.back")).alias("seq"), *[F.col(f"p.{c}").alias(c) for c in payload])
+        p = composed(p, base.select(F.col("key").alias("k"), put.alias("p")))
+    return state(p, payload)

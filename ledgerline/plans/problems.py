@@ -22,6 +22,13 @@ def p2_current_state(spark: SparkSession, d: str) -> DataFrame:
     return patches.apply_feed(read(spark, d, "wal_log"), "key", "version", "ts", "lsn", "op", ["value", "expires_at"]).select("key", F.col("seq").alias("lsn"), "version", "value", "expires_at")
 
 
+def p2_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same table from patches of three parts of the feed, each composed by itself, as runs over a growing feed keep them."""
+    wal = read(spark, d, "wal_log")
+    parts = [patches.patches(wal.filter(F.col("lsn") % 3 == i), "key", "version", "ts", "lsn", "op", ["value", "expires_at"]) for i in range(3)]
+    return patches.state(patches.composed(*parts), ["value", "expires_at"]).select("key", F.col("seq").alias("lsn"), "version", "value", "expires_at")
+
+
 def _key_states(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.eager_join(
         read(spark, d, "wal_log"), read(spark, d, "batch_writes"), "key",
@@ -35,8 +42,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_key_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per key of either table: rows, value bytes, deletes, and the size and byte sum of the row-level join."""
-    wide = [F.col(c).cast("double").alias(c) for c in ("pairs", "j_l_bytes", "j_r_bytes")]
+    """Per key of either table: rows, value bytes, deletes, and the size and byte sums of the row-level join, these exact in decimal digits."""
+    wide = [F.col(c).cast("string").alias(c) for c in ("pairs", "j_l_bytes", "j_r_bytes")]
     return _key_states(spark, d).select("key", "l_n", "r_n", "l_bytes", "r_bytes", "r_deletes", *wide)
 
 
@@ -63,7 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending(records, incremental.speaking_runs(read(spark, d, "repl_runs")), shared_path(spark, "runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_current_state, p3_found, p3_key_report, p4_found, p4_per_period, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_current_state, p2_in_parts, p3_found, p3_key_report, p4_found, p4_per_period, p5_found)}
 
 _P1 = """
 with p as (select key, value, expires_at from (select *, row_number() over (partition by key order by row_no desc) rn from snap_primary where key is not null) x where rn = 1),
@@ -91,6 +98,7 @@ SQL = {
     "p1_found": _P1,
     "p2_found": f"select key, lsn from {_LAST}",
     "p2_current_state": f"select key, lsn, version, value, expires_at from {_LAST}",
+    "p2_in_parts": f"select key, lsn, version, value, expires_at from {_LAST}",
     "p3_found": """
 select tbl, key from (
 select 'wal_log' as tbl, key, count(*) n, sum(count(*)) over () total from wal_log group by key
@@ -100,10 +108,10 @@ where key is not null and n * 100 >= total * 2""",
 with l as (select key, count(*) n, sum(strlen(value)) b from wal_log group by key),
 r as (select key, count(*) n, sum(strlen(value)) b, sum(case deleted when true then 1 when false then 0 end) x from batch_writes group by key)
 select coalesce(l.key, r.key) as key, cast(coalesce(l.n, 0) as bigint) as l_n, cast(coalesce(r.n, 0) as bigint) as r_n,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.n, 0) * coalesce(r.n, 0) end as double) as pairs,
+  cast(case when coalesce(l.key, r.key) is null then 0 else cast(coalesce(l.n, 0) as hugeint) * coalesce(r.n, 0) end as varchar) as pairs,
   cast(l.b as bigint) as l_bytes, cast(r.b as bigint) as r_bytes, cast(r.x as bigint) as r_deletes,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(l.b, 0) * coalesce(r.n, 0) end as double) as j_l_bytes,
-  cast(case when coalesce(l.key, r.key) is null then 0 else coalesce(r.b, 0) * coalesce(l.n, 0) end as double) as j_r_bytes
+  cast(case when coalesce(l.key, r.key) is null then 0 else cast(coalesce(l.b, 0) as hugeint) * coalesce(r.n, 0) end as varchar) as j_l_bytes,
+  cast(case when coalesce(l.key, r.key) is null then 0 else cast(coalesce(r.b, 0) as hugeint) * coalesce(l.n, 0) end as varchar) as j_r_bytes
 from l full outer join r on l.key is not distinct from r.key""",
     "p4_found": _P4 + "select ref_table, strftime(seen_at, '%Y-%m-%d') as period, ptr_id from o",
     "p4_per_period": _P4 + "select ref_table, strftime(seen_at, '%Y-%m-%d') as period, cast(count(*) as bigint) as n_orphans from o group by 1, 2",

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +81,13 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     A plan with a shuffle is spread by that already, and counting its splits would run it.
     """
     spark = df.sparkSession
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+    try:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
+        cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except (AttributeError, PySparkException):  # a remote session doesn't tell; files tell at least whether there are few
+        cores, splits = 32, len(df.inputFiles())
+    return df.repartition(cores, by) if splits < cores else df
 
 
 def per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:

@@ -43,6 +43,8 @@ def test_feed_in_any_order_twice_and_in_halves(spark):
     base = patches.apply_feed(feed(spark, puts[:200]), "key", "version", "ts", "lsn", "op", ["value"])
     assert run(rows, base=base) == want
     assert run([]) == set()
+    parts = [patches.patches(feed(spark, p), "key", "version", "ts", "lsn", "op", chunk=64) for p in (rows[500:], rows[:300], rows[200:600])]
+    assert {(x["key"], x["seq"]) for x in patches.state(patches.composed(*parts)).collect()} == want  # late parts, deletes kept
 
 
 def test_patches_compose_associatively():

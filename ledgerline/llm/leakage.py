@@ -32,11 +32,12 @@ SHARD_CHARS = 8_000_000
 PIECE = 1_500_000
 
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+# texts are searched with a line's end before them, so that these begin with a sign to look for
 # a line of name, docket and page, each between long dashes
-_HEADER = re.compile(r"(?:\A|\n)[^\n—]{2,160}—[^\n—]{2,60}— ?[^\W\d_]{1,12}\.? \d{1,5} *(?=\n|\Z)")
+_HEADER = re.compile(r"\n[^\n—]{2,160}—[^\n—]{2,60}— ?[^\W\d_]{1,12}\.? \d{1,5} *(?=\n|\Z)")
 _BREAK = re.compile(r"-[ \n]*\n[ \n]*")
 # a paragraph's number: after its sign, in brackets, or before a point or bracket where a line or sentence begins
-_PARAGRAPH = re.compile(r"¶\s*\d{1,4}(?!\w)|[(\[] ?\d{1,4} ?[)\]]|(?:(?<![^\n])|(?<=[.;:!?][ \n]))\d{1,4}[.)](?=\s|\Z)")
+_PARAGRAPH = re.compile(r"[¶(\[0-9](?:(?<=¶)\s*\d{1,4}(?!\w)|(?<=[(\[]) ?\d{1,4} ?[)\]]|(?:(?<=\n[0-9])|(?<=[.;:!?][ \n][0-9]))\d{0,3}[.)](?=\s|\Z))")
 _HYPHEN = re.compile("-")
 _MARK = re.compile(r"[^\x00-\x7f\w]")
 #: What is evened out, in order: pattern, what stands for it, and a string without which it can't occur.
@@ -49,10 +50,10 @@ def words(text: str) -> list[bytes]:
     Look-alikes, case, punctuation and hyphens are evened out, page headers and paragraphs' numbers go, and
     words broken at a line's end are joined. Other numbers are words like any.
     """
-    text = same_look(text).lower()
+    text = "\n" + same_look(text).lower()
     for pattern, by, needs in _STEPS:
         if needs in text:
-            text = pattern.sub(by, text)
+            text = pattern.sub(by, text) if pattern is not _HYPHEN else text.replace("-", "")
     return text.encode("utf-8", "replace").translate(_BLANK).split()
 
 
@@ -64,7 +65,7 @@ def traced(text: str) -> list[tuple[bytes, int, int]]:
 
     The same steps, taken sign by sign; for the few texts of which spans are cut out.
     """
-    parts, at, i = [], [], 0
+    parts, at, i = ["\n"], [(0, 0)], 0
     while i < len(text):
         j = i + 1
         while j < len(text) and (unicodedata.combining(text[j]) or not same_look(text[j])):

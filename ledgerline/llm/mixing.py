@@ -147,13 +147,13 @@ def measured(docs: DataFrame, model: Classifier | None, doc: str, text: str, sou
             n = np.array([g[0] for g in got], dtype=np.int64)
             p = m.posterior(np.stack([g[1] for g in got]), n)
             q = rounded(p, np.array([int(x[:13], 16) / 16**13 for x in b["same"]]), m.parts)
-            yield pd.DataFrame({"doc": b["doc"], "source": b["source"], "tokens": n, "q": list(q)})
+            yield pd.DataFrame({"doc": b["doc"], "source": b["source"], "same": b["same"], "tokens": n, "q": list(q)})
 
     rows = docs.select(F.col(doc).alias("doc"), label(source).alias("source"), F.md5(F.col(text).cast("binary")).alias("same"), F.col(text).alias("text")).filter("source is not null and text <> ''")
     one = rows.groupBy("same").agg(F.min(F.struct("doc", "source")).alias("x")).select("same", F.col("x.doc").alias("doc"), F.col("x.source").alias("source"))
-    # the join also spreads the texts over all cores; of a document that comes several times one row is kept
-    texts = one.join(rows.select("doc", "same", "source", "text"), ["doc", "same", "source"]).dropDuplicates(["same"])
-    return texts.select("doc", "source", "same", "text").mapInPandas(run, "doc bigint, source string, tokens bigint, q array<bigint>").filter("tokens > 0")
+    # the join also spreads the texts over all cores; of a document that comes several times one row is kept, once its text is gone
+    texts = one.join(rows.select("doc", "same", "source", "text"), ["doc", "same", "source"])
+    return texts.select("doc", "source", "same", "text").mapInPandas(run, "doc bigint, source string, same string, tokens bigint, q array<bigint>").dropDuplicates(["same"]).drop("same").filter("tokens > 0")
 
 
 def rounded(p: np.ndarray, u: np.ndarray, parts: int = PARTS) -> np.ndarray:

@@ -37,7 +37,7 @@ def conflict_candidates(txns: DataFrame, span: int) -> DataFrame:
 
 
 #: Timestamps per chunk of the commit order, at least; a chunk is as wide as the longest transaction.
-WIDTH = 1 << 15
+WIDTH = 1 << 17
 _RESULT = "c bigint, txn bigint, first boolean, key string, commit_ts bigint, written boolean, committed boolean"
 
 
